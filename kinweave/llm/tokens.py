@@ -11,8 +11,8 @@ import re
 
 import numpy as np
 
-#: Bound on the units remembered by a worker: about 250 bytes each.
-MOST_UNITS = 500_000
+#: Bound on the units remembered by a worker: about 200 bytes each.
+MOST_UNITS = 700_000
 #: Units longer than this are encoded but not remembered.
 LONGEST_UNIT = 64
 
@@ -40,38 +40,44 @@ def load(path: str):
 
 
 class _Units(dict):
-    """unit -> ids as bytes. fill() encodes the missing ones in one call of the library: they stand in one text between
-    separators whose id no unit holds, so the ids between two separators are those of a unit."""
+    """unit -> ids as bytes. Looking up a missing unit notes it and gives None; fill() then encodes those noted: they stand in
+    one text between separators whose id no unit holds, so the ids between two separators are those of a unit."""
 
-    def __init__(self, tokenizer, dtype, separator: str):
+    def __init__(self, tokenizer, dtype, separator: str, prefix: str):
         super().__init__()
-        self.tokenizer, self.dtype, self.separator = tokenizer, dtype, separator
+        self.tokenizer, self.dtype, self.separator, self.prefix = tokenizer, dtype, separator, prefix
         (self.between,) = tokenizer.encode(separator, add_special_tokens=False).ids
-
-    def fill(self, units: list[str]) -> dict:
-        """Encodes the missing units. They are remembered while there is room; the dictionary returned has the others."""
-        missing = [u for u in dict.fromkeys(units) if u not in self]
-        into = self if len(self) + len(missing) <= MOST_UNITS else {}
-        mark = self.separator.strip(" ")
-        plain = [u for u in missing if mark not in u and "<|" not in u]
-        size = np.dtype(self.dtype).itemsize
+        self.noted: dict[str, None] = {}
+        self.brief: dict[str, bytes] = {}  # of this batch only: what there was no room for
+
+    def __missing__(self, unit: str) -> bytes | None:
+        found = self.brief.get(unit)
+        if found is None:
+            self.noted[unit] = None
+        return found
+
+    def fill(self) -> None:
+        """Encodes the units noted. They are remembered while there is room and if they are not long."""
+        new: dict[str, bytes] = {}
+        mark, size = self.separator.strip(" "), np.dtype(self.dtype).itemsize
+        plain = [u for u in self.noted if mark not in u and "<|" not in u]
         for at in range(0, len(plain), 1000):
             some = plain[at : at + 1000]
-            ids = np.array(self.tokenizer.encode(self.separator + self.separator.join(some) + self.separator, add_special_tokens=False).ids, self.dtype)
+            between = self.separator + self.prefix
+            ids = np.array(self.tokenizer.encode(between + between.join(some) + self.separator, add_special_tokens=False).ids, self.dtype)
             edge = np.flatnonzero(ids == self.between)
-            if len(edge) != len(some) + 1:
-                continue
-            raw, starts, ends = ids.tobytes(), ((edge[:-1] + 1) * size).tolist(), (edge[1:] * size).tolist()
-            into.update(zip(some, [raw[i:j] for i, j in zip(starts, ends, strict=True)], strict=True))
-        for unit in missing:
-            if unit not in into:
-                into[unit] = np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, self.dtype).tobytes()
-        return {} if into is self else into
-
-    def forget_long(self) -> None:
-        """Drops very long units, which would hold much memory."""
-        for unit in [u for u in self if len(u) > LONGEST_UNIT]:
-            del self[unit]
+            if len(edge) == len(some) + 1:
+                raw, starts, ends = ids.tobytes(), ((edge[:-1] + 1) * size).tolist(), (edge[1:] * size).tolist()
+                new.update(zip(some, [raw[i:j] for i, j in zip(starts, ends, strict=True)], strict=True))
+        for unit in self.noted:
+            if unit not in new:
+                new[unit] = np.array(self.tokenizer.encode(self.prefix + unit, add_special_tokens=False).ids, self.dtype).tobytes()
+        self.noted = {}
+        if len(self) + len(new) <= MOST_UNITS:
+            self.update((u, x) for u, x in new.items() if len(u) <= LONGEST_UNIT)
+            self.brief = {u: x for u, x in new.items() if len(u) > LONGEST_UNIT}
+        else:
+            self.brief = new
 
 
 class Encoder:
@@ -83,45 +89,47 @@ class Encoder:
     """
 
     #: White space for which the cuts above are not plain, and the start of special tokens.
-    ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]|<\\||  |\n\n| \n|\n ")
+    ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<\\||  |\n\n| \n|\n ")
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
         self.kind = "byte" if self.tokenizer.normalizer is None else "word"
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size(True) <= 1 << 16 else np.uint32
-        self.units = _Units(self.tokenizer, self.dtype, "\n" if self.kind == "byte" else " \x01 ")
+        separator = "\n" if self.kind == "byte" else " \x01 "
+        self.first = _Units(self.tokenizer, self.dtype, separator, "")
+        self.later = _Units(self.tokenizer, self.dtype, separator, " ") if self.kind == "byte" else self.first
+        self.line_end = np.array(self.tokenizer.encode("\n", add_special_tokens=False).ids, self.dtype).tobytes()
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        split = self._word if self.kind == "word" else self._byte
-        parts = [split(t) for t in texts]
-        known, more = self.units, self.units.fill([u for p in parts if p is not None for u in p])
-        out = []
-        for text, p in zip(texts, parts, strict=True):
-            if p is None:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype))
-            else:
-                out.append(np.frombuffer(b"".join([known[u] if u in known else more[u] for u in p] if more else [known[u] for u in p]), self.dtype))
-        self.units.forget_long()
-        return out
-
-    @staticmethod
-    def _word(text: str) -> list[str]:
-        return [u for u in text.replace("\n", " ").split(" ") if u]
-
-    def _byte(self, text: str) -> list[str] | None:
+        out = [self._look(t) for t in texts]
+        if self.first.noted or self.later.noted:
+            self.first.fill()
+            if self.later is not self.first:
+                self.later.fill()
+            out = [self._look(t) if o is None else o for t, o in zip(texts, out, strict=True)]
+        return [np.frombuffer(o, self.dtype) for o in out]
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _look(self, text: str) -> bytes | None:
+        """The ids' bytes, or None after noting what is missing."""
         if not text:
-            return []
+            return b""
+        first, later = self.first, self.later
+        if self.kind == "word":
+            got = [first[u] for u in text.replace("\n", " ").split(" ") if u]
+            return None if None in got else b"".join(got)
         if self.ODD.search(text) or text[0] in " \n" or text[-1] in " \n":
-            return None
-        out: list[str] = []
+            return self._whole(text)
+        got = []
         for line in text.split("\n"):
-            if out:
-                out.append("\n")
             words = line.split(" ")
-            out.append(words[0])
-            out += [" " + w for w in words[1:]]
-        return out
+            ids = [later[w] for w in words]
+            ids[0] = first[words[0]]
+            got.append(None if None in ids else b"".join(ids))
+        return None if None in got else self.line_end.join(got)
 
 
 def encoder(path: str) -> Encoder:
