@@ -12,7 +12,7 @@ import re
 import numpy as np
 
 #: Bound on the units remembered by a worker: about 200 bytes each.
-MOST_UNITS = 700_000
+MOST_UNITS = 400_000
 #: Units longer than this are encoded but not remembered.
 LONGEST_UNIT = 64
 
@@ -39,14 +39,21 @@ def load(path: str):
     return _loaded[path]
 
 
+#: The published byte-to-character rule of byte-level vocabularies: printable bytes stand for themselves, the rest for 256 and on.
+_PLAIN = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAC + 1), *range(0xAE, 0xFF + 1)]
+BYTE_CHARS = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+
+#: Words of ASCII and Latin-1 letters, which every normaliser and pre-tokenizer here keeps whole, and marks that follow a word as one piece.
+_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_MARKS = ".,;:!?$%&*#)]}\"-"
+
+
 class _Units(dict):
-    """unit -> ids as bytes. Looking up a missing unit notes it and gives None; fill() then encodes those noted: they stand in
-    one text between separators whose id no unit holds, so the ids between two separators are those of a unit."""
+    """unit -> ids as bytes. Looking up a missing unit notes it and gives None; fill() then encodes those noted."""
 
-    def __init__(self, tokenizer, dtype, separator: str, prefix: str):
+    def __init__(self, tokenizer, dtype, prefix: str, lower: bool):
         super().__init__()
-        self.tokenizer, self.dtype, self.separator, self.prefix = tokenizer, dtype, separator, prefix
-        (self.between,) = tokenizer.encode(separator, add_special_tokens=False).ids
+        self.tokenizer, self.dtype, self.prefix, self.lower = tokenizer, dtype, prefix, lower
         self.noted: dict[str, None] = {}
         self.brief: dict[str, bytes] = {}  # of this batch only: what there was no room for
 
@@ -56,28 +63,38 @@ class _Units(dict):
             self.noted[unit] = None
         return found
 
+    def piece(self, text: str) -> bytes:
+        """The ids of what the pre-tokenizer keeps whole, straight from the model."""
+        return np.array([t.id for t in self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(BYTE_CHARS))], self.dtype).tobytes()
+
+    def ids(self, unit: str) -> bytes:
+        core = unit.rstrip(_MARKS)
+        if not _WORD.fullmatch(core):
+            return np.array(self.tokenizer.encode(self.prefix + unit, add_special_tokens=False).ids, self.dtype).tobytes()
+        if core == unit:
+            return self.piece(self.prefix + (core.lower() if self.lower else core))
+        found = self.get(core) or self.brief.get(core)
+        if found is None:
+            found = self.ids(core)
+            self.keep(core, found)
+        marks = unit[len(core) :]
+        end = self.get(f"\n{marks}")
+        if end is None:
+            end = self.piece(marks)
+            self.keep(f"\n{marks}", end)
+        return found + end
+
+    def keep(self, unit: str, ids: bytes) -> None:
+        if len(self) < MOST_UNITS and len(unit) <= LONGEST_UNIT:
+            self[unit] = ids
+        else:
+            self.brief[unit] = ids
+
     def fill(self) -> None:
         """Encodes the units noted. They are remembered while there is room and if they are not long."""
-        new: dict[str, bytes] = {}
-        mark, size = self.separator.strip(" "), np.dtype(self.dtype).itemsize
-        plain = [u for u in self.noted if mark not in u and "<|" not in u]
-        for at in range(0, len(plain), 1000):
-            some = plain[at : at + 1000]
-            between = self.separator + self.prefix
-            ids = np.array(self.tokenizer.encode(between + between.join(some) + self.separator, add_special_tokens=False).ids, self.dtype)
-            edge = np.flatnonzero(ids == self.between)
-            if len(edge) == len(some) + 1:
-                raw, starts, ends = ids.tobytes(), ((edge[:-1] + 1) * size).tolist(), (edge[1:] * size).tolist()
-                new.update(zip(some, [raw[i:j] for i, j in zip(starts, ends, strict=True)], strict=True))
-        for unit in self.noted:
-            if unit not in new:
-                new[unit] = np.array(self.tokenizer.encode(self.prefix + unit, add_special_tokens=False).ids, self.dtype).tobytes()
-        self.noted = {}
-        if len(self) + len(new) <= MOST_UNITS:
-            self.update((u, x) for u, x in new.items() if len(u) <= LONGEST_UNIT)
-            self.brief = {u: x for u, x in new.items() if len(u) > LONGEST_UNIT}
-        else:
-            self.brief = new
+        noted, self.noted = self.noted, {}
+        for unit in noted:
+            self.keep(unit, self.ids(unit))
 
 
 class Encoder:
@@ -88,48 +105,53 @@ class Encoder:
     may be cut at every space and line end.
     """
 
-    #: White space for which the cuts above are not plain, and the start of special tokens.
-    ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<\\||  |\n\n| \n|\n ")
+    #: White space for which the cuts above are not plain.
+    ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
         self.kind = "byte" if self.tokenizer.normalizer is None else "word"
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size(True) <= 1 << 16 else np.uint32
-        separator = "\n" if self.kind == "byte" else " \x01 "
-        self.first = _Units(self.tokenizer, self.dtype, separator, "")
-        self.later = _Units(self.tokenizer, self.dtype, separator, " ") if self.kind == "byte" else self.first
+        self.first = _Units(self.tokenizer, self.dtype, "", self.kind == "word")
+        self.later = _Units(self.tokenizer, self.dtype, " ", False) if self.kind == "byte" else self.first
         self.line_end = np.array(self.tokenizer.encode("\n", add_special_tokens=False).ids, self.dtype).tobytes()
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        out = [self._look(t) for t in texts]
-        if self.first.noted or self.later.noted:
-            self.first.fill()
-            if self.later is not self.first:
-                self.later.fill()
-            out = [self._look(t) if o is None else o for t, o in zip(texts, out, strict=True)]
-        return [np.frombuffer(o, self.dtype) for o in out]
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def _look(self, text: str) -> bytes | None:
-        """The ids' bytes, or None after noting what is missing."""
-        if not text:
-            return b""
+        for units in (self.first, self.later):
+            units.brief, units.noted = {}, {}
+        parts = [self._parts(t) for t in texts]
+        for units in (self.first, self.later):
+            units.fill()
+        return [np.frombuffer(self._joined(p), self.dtype) for p in parts]
+
+    def _parts(self, text: str) -> list:
+        """Per line: the units and their ids, None where missing. A text that may not be cut comes as its ids."""
         first, later = self.first, self.later
         if self.kind == "word":
-            got = [first[u] for u in text.replace("\n", " ").split(" ") if u]
-            return None if None in got else b"".join(got)
-        if self.ODD.search(text) or text[0] in " \n" or text[-1] in " \n":
-            return self._whole(text)
-        got = []
+            units = text.replace("\n", " ").split(" ") if text else []
+            return [(units, [first[u] if u else b"" for u in units])]
+        if not text:
+            return []
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "<|" in text or text[0] in " \n" or text[-1] in " \n" or self.ODD.search(text):
+            return [([], [np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()])]
+        out = []
         for line in text.split("\n"):
-            words = line.split(" ")
-            ids = [later[w] for w in words]
-            ids[0] = first[words[0]]
-            got.append(None if None in ids else b"".join(ids))
-        return None if None in got else self.line_end.join(got)
+            units = line.split(" ")
+            ids = [first[units[0]]]
+            ids += [later[u] for u in units[1:]]
+            out.append((units, ids))
+        return out
+
+    def _joined(self, parts: list) -> bytes:
+        lines = []
+        for units, ids in parts:
+            if None in ids:
+                for i, x in enumerate(ids):
+                    if x is None:
+                        ids[i] = self.later[units[i]] if i else self.first[units[i]]
+            lines.append(b"".join(ids))
+        return self.line_end.join(lines)
 
 
 def encoder(path: str) -> Encoder:
@@ -144,9 +166,7 @@ def token_bytes(path: str) -> list[bytes]:
     """The bytes of every id of a byte-level vocabulary, by the published byte-to-character rule; special tokens stand for their text."""
     key = ("bytes", path)
     if key not in _loaded:
-        plain = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAC + 1), *range(0xAE, 0xFF + 1)]
-        rest = [b for b in range(256) if b not in plain]
-        back = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+        back = {c: b for b, c in BYTE_CHARS.items()}
         made = load(path)
         out = [b""] * made.get_vocab_size(True)
         for token, at in made.get_vocab(True).items():
