@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arrowfile, common, packing, simhash, tokens, topk
+from . import arrowfile, common, packing, quality, simhash, tokens, topk
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +29,11 @@ def op6_arrow_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrowfile.read_documents(arrowfile.write_tokens(common.table(spark, sf_dir, "documents"), folder, tokens.tokenizer_path("byte_bpe_50k.json")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_exact_topk, op6_arrow_token_file)}
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(common.table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_exact_topk, op6_arrow_token_file, op8_quality_rules)}
 ORACLES: dict[str, str] = {
     "op3_exact_topk": """
         WITH v AS (
@@ -40,4 +44,51 @@ ORACLES: dict[str, str] = {
             FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0
         ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op8_quality_rules": """
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+        s AS (
+            SELECT *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+                list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d
+        ),
+        i AS (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM s WHERE len(w) >= 3),
+        g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i], w[i + 1], w[i + 2]) AS n FROM i),
+        r AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM g WHERE n > 1) GROUP BY rid),
+        m AS (
+            SELECT s.rid, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+                CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) AS BIGINT) AS n_lines,
+                CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
+            FROM s LEFT JOIN r ON r.rid = s.rid
+        ),
+        b AS (
+            SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 100 * word_chars // greatest(n_words, 1) AS word_length,
+                1000 * n_symbols // greatest(n_words, 1) AS symbols, 1000 * n_dup_lines // greatest(n_lines, 1) AS duplicate_lines, 1000 * n_repeat_words // greatest(n_words, 1) AS repetition FROM m
+        ),
+        u AS (
+            SELECT lang, source, unnest(['word_length', 'symbols', 'duplicate_lines', 'repetition']) AS rule, unnest([word_length, symbols, duplicate_lines, repetition]) AS v FROM b WHERE NOT base_failed
+        ),
+        k AS (
+            SELECT lang, source, rule, count(*) AS n, CASE WHEN v < 1024 THEN v WHEN v < 8192 THEN v - v % 16 WHEN v < 65536 THEN v - v % 128 WHEN v < 1048576 THEN v - v % 2048 ELSE 1048576 END AS bin
+            FROM u GROUP BY lang, source, rule, bin
+        ),
+        l AS (
+            SELECT 2 AS level, lang, source, rule, bin, n FROM k UNION ALL SELECT 1, lang, '', rule, bin, sum(n) FROM k GROUP BY lang, rule, bin UNION ALL SELECT 0, '', '', rule, bin, sum(n) FROM k GROUP BY rule, bin
+        ),
+        c AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rule ORDER BY bin) AS below, sum(n) OVER (PARTITION BY level, lang, source, rule) AS total FROM l),
+        q AS (
+            SELECT level, lang, source, rule, max(total) AS n, min(bin) FILTER (WHERE 4 * below >= total) AS q1, min(bin) FILTER (WHERE 2 * below >= total) AS q2, min(bin) FILTER (WHERE 4 * below >= 3 * total) AS q3
+            FROM c GROUP BY level, lang, source, rule
+        ),
+        h AS (
+            SELECT o.lang, o.source, o.rule, CASE WHEN o.n >= 100 THEN o.q2 WHEN a.n >= 100 THEN a.q2 ELSE z.q2 END AS mid,
+                greatest(4 * CASE WHEN o.n >= 100 THEN o.q3 - o.q1 WHEN a.n >= 100 THEN a.q3 - a.q1 ELSE z.q3 - z.q1 END,
+                    CASE o.rule WHEN 'word_length' THEN 100 WHEN 'symbols' THEN 100 WHEN 'duplicate_lines' THEN 340 ELSE 200 END) AS reach
+            FROM q o JOIN q a ON a.level = 1 AND a.lang = o.lang AND a.rule = o.rule JOIN q z ON z.level = 0 AND z.rule = o.rule WHERE o.level = 2
+        ),
+        x AS (
+            SELECT lang, source, max(mid + reach) FILTER (WHERE rule = 'word_length') AS wh, max(mid - reach) FILTER (WHERE rule = 'word_length') AS wl, max(mid + reach) FILTER (WHERE rule = 'symbols') AS sh,
+                max(mid + reach) FILTER (WHERE rule = 'duplicate_lines') AS dh, max(mid + reach) FILTER (WHERE rule = 'repetition') AS rh FROM h GROUP BY lang, source
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+            NOT base_failed AND coalesce(word_length <= wh, true) AND coalesce(word_length >= wl, true) AND coalesce(symbols <= sh, true) AND coalesce(duplicate_lines <= dh, true) AND coalesce(repetition <= rh, true) AS kept
+        FROM b LEFT JOIN x ON x.lang = b.lang AND x.source = b.source""",
 }
