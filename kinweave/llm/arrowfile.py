@@ -8,7 +8,6 @@ filled up with zeros, which its mask tells.
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -26,32 +25,12 @@ LENGTH, ROWS = 1024, 64
 MANIFEST = "shard int, tokens string, docs string, n_docs long, n_tokens long"
 
 
-def place(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a path or URI, and the path there."""
-    return pafs.FileSystem.from_uri(uri)
-
-
-class _Publisher:
-    """A file written beside its place and moved there when whole, so that a task run twice leaves one whole file."""
-
-    def __init__(self, uri: str):
-        self.fs, self.path = place(uri)
-        context = TaskContext.get()
-        self.draft = f"{self.path}.{context.taskAttemptId() if context else os.getpid()}.draft"
-        self.fs.create_dir(os.path.dirname(self.path), recursive=True)
-        self.out = self.fs.open_output_stream(self.draft)
-
-    def done(self) -> None:
-        self.out.close()
-        self.fs.move(self.draft, self.path)
-
-
 class TokenWriter:
     """Takes documents' ids one after another and writes a shard."""
 
     def __init__(self, uri: str, docs_uri: str, dtype, length: int = LENGTH, rows: int = ROWS):
         self.length, self.rows, self.dtype = length, rows, np.dtype(dtype)
-        self.tokens, self.docs = _Publisher(uri), _Publisher(docs_uri)
+        self.tokens, self.docs = common.Publisher(uri), common.Publisher(docs_uri)
         self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(self.dtype), length)), ("mask", pa.list_(pa.bool_(), length))])
         self.writer = pa.ipc.new_file(self.tokens.out, self.schema)
         self.doc_writer = pa.ipc.new_file(self.docs.out, pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())]))
@@ -106,7 +85,7 @@ class TokenReader:
     """Random access to a shard. On a local file system the file is mapped, and ids within a batch come without a copy."""
 
     def __init__(self, uri: str):
-        fs, path = place(uri)
+        fs, path = common.place(uri)
         self.file = pa.ipc.open_file(pa.memory_map(path) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(path))
         self.length = self.file.schema.field("ids").type.list_size
         self.rows = self.file.get_batch(0).num_rows if self.file.num_record_batches else 0
@@ -173,7 +152,7 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                 tokens_file = TokenReader(shard["tokens"])
                 if tokens_file.n_valid() != shard["n_tokens"]:
                     raise ValueError(f"{shard['tokens']} has not the ids that the manifest tells")
-                fs, path = place(shard["docs"])
+                fs, path = common.place(shard["docs"])
                 with fs.open_input_file(path) as f:
                     docs = pa.ipc.open_file(f)
                     for k in range(docs.num_record_batches):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arrowfile, common, packing, quality, simhash, tokens, topk
+from . import arrowfile, common, packing, quality, simhash, tokens, topk, warc
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,11 +29,15 @@ def op6_arrow_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrowfile.read_documents(arrowfile.write_tokens(common.table(spark, sf_dir, "documents"), folder, tokens.tokenizer_path("byte_bpe_50k.json")))
 
 
+def op7_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archives(warc.write_archives(common.table(spark, sf_dir, "pages"), common.new_folder(spark, "warc")))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_exact_topk, op6_arrow_token_file, op8_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_exact_topk, op6_arrow_token_file, op7_warc_zstd, op8_quality_rules)}
 ORACLES: dict[str, str] = {
     "op3_exact_topk": """
         WITH v AS (
@@ -91,4 +95,9 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
             NOT base_failed AND coalesce(word_length <= wh, true) AND coalesce(word_length >= wl, true) AND coalesce(symbols <= sh, true) AND coalesce(duplicate_lines <= dh, true) AND coalesce(repetition <= rh, true) AS kept
         FROM b LEFT JOIN x ON x.lang = b.lang AND x.source = b.source""",
+    "op7_warc_zstd": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS payload_digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
+        m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to FROM m""",
 }
