@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
 #: Bound on the units remembered by a worker: about 200 bytes each.
-MOST_UNITS = 400_000
+MOST_UNITS = 800_000
 #: Units longer than this are encoded but not remembered.
 LONGEST_UNIT = 64
 
@@ -54,6 +55,7 @@ class _Units(dict):
     def __init__(self, tokenizer, dtype, prefix: str, lower: bool):
         super().__init__()
         self.tokenizer, self.dtype, self.prefix, self.lower = tokenizer, dtype, prefix, lower
+        self.code, self.mark = "H" if dtype is np.uint16 else "I", prefix and BYTE_CHARS[ord(prefix)]
         self.noted: dict[str, None] = {}
         self.brief: dict[str, bytes] = {}  # of this batch only: what there was no room for
 
@@ -63,16 +65,17 @@ class _Units(dict):
             self.noted[unit] = None
         return found
 
-    def piece(self, text: str) -> bytes:
-        """The ids of what the pre-tokenizer keeps whole, straight from the model."""
-        return np.array([t.id for t in self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(BYTE_CHARS))], self.dtype).tobytes()
+    def piece(self, text: str, prefix: str = "") -> bytes:
+        """The ids of what the pre-tokenizer keeps whole, straight from the model; prefix is in the vocabulary's characters."""
+        chars = text if text.isascii() else text.encode().decode("latin-1").translate(BYTE_CHARS)
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(prefix + chars)]).tobytes()
 
     def ids(self, unit: str) -> bytes:
         core = unit.rstrip(_MARKS)
         if not _WORD.fullmatch(core):
             return np.array(self.tokenizer.encode(self.prefix + unit, add_special_tokens=False).ids, self.dtype).tobytes()
         if core == unit:
-            return self.piece(self.prefix + (core.lower() if self.lower else core))
+            return self.piece(core.lower() if self.lower else core, self.mark)
         found = self.get(core) or self.brief.get(core)
         if found is None:
             found = self.ids(core)
@@ -133,7 +136,7 @@ class Encoder:
             return [(units, [first[u] if u else b"" for u in units])]
         if not text:
             return []
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "<|" in text or text[0] in " \n" or text[-1] in " \n" or self.ODD.search(text):
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "<|" in text or text[0] in " \n" or text[-1] in " \n" or not text.replace("\n", "").isprintable() and self.ODD.search(text):
             return [([], [np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()])]
         out = []
         for line in text.split("\n"):
