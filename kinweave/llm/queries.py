@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arrowfile, chunked_bpe, common, packing, quality, simhash, tokens, topk, warc
+from . import arrowfile, chunked_bpe, classify, common, packing, quality, simhash, tokens, topk, warc
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,14 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(rows, rows.where(F.col("vec_id") % 50 == 0), 5)
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.quality(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.toxicity(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 def op6_arrow_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = common.new_folder(spark, "tokens")
     return arrowfile.read_documents(arrowfile.write_tokens(common.table(spark, sf_dir, "documents"), folder, tokens.tokenizer_path("byte_bpe_50k.json")))
@@ -41,7 +49,7 @@ def op10_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunked_bpe.encoded(common.table(spark, sf_dir, "documents"), tokens.tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_exact_topk, op6_arrow_token_file, op7_warc_zstd, op8_quality_rules, op10_chunked_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_exact_topk, op4_quality_classifier, op5_toxicity, op6_arrow_token_file, op7_warc_zstd, op8_quality_rules, op10_chunked_bpe)}
 ORACLES: dict[str, str] = {
     "op3_exact_topk": """
         WITH v AS (
