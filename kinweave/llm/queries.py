@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arrowfile, chunked_bpe, classify, common, packing, quality, simhash, tokens, topk, warc
+from . import arrowfile, chunked_bpe, classify, common, packing, quality, simhash, suffix, tokens, topk, warc
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,11 +45,15 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(common.table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.deduplicated(common.table(spark, sf_dir, "documents"))
+
+
 def op10_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunked_bpe.encoded(common.table(spark, sf_dir, "documents"), tokens.tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_exact_topk, op4_quality_classifier, op5_toxicity, op6_arrow_token_file, op7_warc_zstd, op8_quality_rules, op10_chunked_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_exact_topk, op4_quality_classifier, op5_toxicity, op6_arrow_token_file, op7_warc_zstd, op8_quality_rules, op9_suffix_array_dedup, op10_chunked_bpe)}
 ORACLES: dict[str, str] = {
     "op3_exact_topk": """
         WITH v AS (
