@@ -147,8 +147,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                 yield pa.record_batch([pa.array(np.full(len(at), q_ids[i])), pa.array(c_ids[at]), pa.array(s[i, at].astype(np.int64))], names=["query_id", "vec_id", "score"])
 
     while True:
-        width //= BINS
-        seen = met(state).mapInArrow(counted(max(1, width)), "q_block long, query_id long, bin long, n long, above long")
+        seen = met(state).mapInArrow(counted(width), "q_block long, query_id long, bin long, n long, above long")
         sums = seen.groupBy("q_block", "query_id", "bin", "above").agg(F.sum("n").alias("n"))
         down = Window.partitionBy("query_id").orderBy(F.col("bin").desc())
         base = F.lit(-reach) if state is None else F.col("low")
@@ -156,12 +155,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         # The kth score's bin: the lowest bin with fewer than k scores above it (queries with fewer than k candidates: their lowest).
         chosen = sums.where(F.col("higher") + F.col("above") < k).groupBy("q_block", "query_id").agg(F.min_by(F.struct("bin", (F.col("higher") + F.col("above")).alias("above")), "bin").alias("at"))
         if state is None:
-            chosen = chosen.select("q_block", "query_id", (base + F.col("at.bin") * max(1, width)).alias("low"), F.col("at.above").alias("above"))
+            chosen = chosen.select("q_block", "query_id", (base + F.col("at.bin") * width).alias("low"), F.col("at.above").alias("above"))
         else:
-            chosen = chosen.join(state.select("q_block", "query_id", "low"), ["q_block", "query_id"]).select("q_block", "query_id", (F.col("low") + F.col("at.bin") * max(1, width)).alias("low"), F.col("at.above").alias("above"))
+            chosen = chosen.join(state.select("q_block", "query_id", "low"), ["q_block", "query_id"]).select("q_block", "query_id", (F.col("low") + F.col("at.bin") * width).alias("low"), F.col("at.above").alias("above"))
         state = common.cut(chosen)
-        if width <= 1:
+        if width == 1:
             break
+        width //= BINS
     rows = met(state).mapInArrow(kept, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
