@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -217,3 +218,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int
     """(doc_id, held_out, score, predicted) for each row: how likely it is toxic. Other cases are as in quality()."""
     shared = docs.sparkSession.sparkContext.broadcast(toxicity_model(docs, labels, "toxic", modulus, held_out))
     return _scored(docs, lambda texts: presence_score(shared.value)(texts), modulus, held_out, threshold)
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs that toxicity() does not predict toxic, with the columns of docs."""
+    shared = docs.sparkSession.sparkContext.broadcast(toxicity_model(docs, labels, "toxic", modulus, held_out))
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(presence_score(shared.value)(texts.tolist()), dtype="float64")
+
+    return docs.where(score(F.col("text").cast("string")) < threshold)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import common, graph
+from . import common, features, graph
 
 #: Odd bits of a long, as Spark's signed long.
 LOW_BITS = 0x5555555555555555
@@ -72,8 +72,22 @@ def grid_masks(radius: int) -> list[int]:
     return [signed(part[i] | part[j] | part[k]) for i, j, k in combinations(range(blocks), 3)]
 
 
-def _close(key: np.ndarray, fp: np.ndarray, radius: int, tile: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Links between rows with equal keys (sorted by key), as spanning stars. tile: only rows of different tiles are compared."""
+def nearest_links(a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the links, those from each node to its `most` smallest smaller neighbours."""
+    high, low = np.maximum(a, b), np.minimum(a, b)
+    order = np.lexsort((low, high))
+    high, low = high[order], low[order]
+    fresh = np.r_[True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])] if len(high) else np.zeros(0, bool)
+    high, low = high[fresh], low[fresh]
+    first = np.flatnonzero(np.r_[True, high[1:] != high[:-1]]) if len(high) else np.zeros(0, np.int64)
+    rank = np.arange(len(high)) - np.repeat(first, np.diff(np.r_[first, len(high)]))
+    return high[rank < most], low[rank < most]
+
+
+def _close(key: np.ndarray, fp: np.ndarray, ids: np.ndarray, radius: int, direct: int, tile: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links between ids of rows with equal keys (sorted by key): as spanning stars, or each node's `direct` smallest links if that is
+    not 0. tile: only rows of different tiles are compared."""
+    reduce = (lambda a, b: nearest_links(a, b, direct)) if direct else graph.spanning_stars
     found: list[tuple[np.ndarray, np.ndarray]] = []
     size, at, shift = 0, np.arange(len(key) - 1), 1
     while True:
@@ -81,18 +95,17 @@ def _close(key: np.ndarray, fp: np.ndarray, radius: int, tile: np.ndarray | None
         at = at[key[at] == key[at + shift]]
         if not len(at):
             break
-        a, b = fp[at], fp[at + shift]
-        near = (np.bitwise_count(a ^ b) <= radius) & (a != b)
+        near = (np.bitwise_count(fp[at] ^ fp[at + shift]) <= radius) & (ids[at] != ids[at + shift])
         if tile is not None:
             near &= tile[at] != tile[at + shift]
         if near.any():
-            found.append((a[near], b[near]))
+            found.append((ids[at][near], ids[at + shift][near]))
             size += int(near.sum())
             if size > 1 << 20:
-                found = [graph.spanning_stars(*map(np.concatenate, zip(*found, strict=True)))]
-                size = len(found[0][0])
+                found = [reduce(*map(np.concatenate, zip(*found, strict=True)))]
+                size = len(found[0][0]) // 2
         shift += 1
-    return graph.spanning_stars(*map(np.concatenate, zip(*found, strict=True))) if found else (fp[:0], fp[:0])
+    return reduce(*map(np.concatenate, zip(*found, strict=True))) if found else (ids[:0], ids[:0])
 
 
 def _runs(batches: Iterator[pa.RecordBatch], columns: int, most: int = 1 << 17) -> Iterator[list[np.ndarray]]:
@@ -113,44 +126,49 @@ def _runs(batches: Iterator[pa.RecordBatch], columns: int, most: int = 1 << 17)
         yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
-def links(distinct: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
-    """Edges (a, b) between the fingerprints `fp` (distinct longs) at most radius bits apart, enough to hold their components together.
+def links(distinct: DataFrame, radius: int = 3, tile: int = TILE, direct: int = 0) -> DataFrame:
+    """Edges (a, b) between rows (id, fp), id a distinct long, whose fingerprints lie at most radius bits apart.
 
-    Grid cells are compared by key, in sorted runs. A cell of over `tile` rows is set aside, dealt in tiles, and its pairs of tiles
-    are compared as work of their own. Links leave a task as spanning stars, so no group emits all its pairs.
+    direct 0: enough edges to hold the components together; else the links from each id to its `direct` smallest neighbours in a
+    cell. Grid cells are compared by key, in sorted runs. A cell of over `tile` rows is set aside, dealt in tiles, and its pairs of
+    tiles are compared as work of their own. No group emits all its pairs.
     """
     n = common.partitions(distinct.sparkSession)
     masks = grid_masks(radius)
-    cells = distinct.select("fp", popcounts(F.col("fp")).alias("u")).select(
-        F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("u").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])).alias("cell"), "fp"
+    cells = distinct.select("id", "fp", popcounts(F.col("fp")).alias("u")).select(
+        F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("u").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])).alias("cell"), "fp", "id"
     )
+    reduce = (lambda a, b: nearest_links(a, b, direct)) if direct else graph.spanning_stars
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stars: list[tuple[np.ndarray, np.ndarray]] = []
-        for key, fp in _runs(batches, 2):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        out = lambda: reduce(*map(np.concatenate, zip(*held, strict=True)))
+        for key, fp, ids in _runs(batches, 3):
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             count = np.diff(np.r_[starts, len(key)])
             place = np.arange(len(key)) - np.repeat(starts, count)
             large = np.repeat(count > tile, count)
-            stars.append(_close(key[~large], fp[~large], radius))
+            held.append(_close(key[~large], fp[~large], ids[~large], radius, direct))
+            if sum(len(x[0]) for x in held) > 1 << 20:
+                held = [out()]
             if large.any():
-                yield pa.record_batch([pa.array(fp[large]), pa.array(key[large]), pa.array((place[large] // tile).astype(np.int64))], names=["a", "b", "tile"])
-        if stars:
-            a, b = graph.spanning_stars(*map(np.concatenate, zip(*stars, strict=True)))
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.int64())], names=["a", "b", "tile"])
+                yield pa.record_batch([pa.array(ids[large]), pa.array(key[large]), pa.array(fp[large]), pa.array((place[large] // tile).astype(np.int64))], names=["a", "b", "fp", "tile"])
+        if held:
+            a, b = out()
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64())], names=["a", "b", "fp", "tile"])
 
-    found = common.cut(cells.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long, tile long"))
+    found = common.cut(cells.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long, fp long, tile long"))
     edges = found.where("tile is null").select("a", "b")
-    aside = found.where("tile is not null").select(F.col("b").alias("cell"), F.col("a").alias("fp"), "tile")
+    aside = found.where("tile is not null").select(F.col("b").alias("cell"), F.col("a").alias("id"), "fp", "tile")
     if aside.isEmpty():
         return edges
     tiles = aside.groupBy("cell").agg(F.max("tile").alias("last"))
     dealt = aside.join(tiles, "cell").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
-    dealt = dealt.select(F.xxhash64("cell", F.least("tile", "other"), F.greatest("tile", "other")).alias("pair"), "fp", "tile", (F.col("tile") == F.col("other")).alias("same"))
+    dealt = dealt.select(F.xxhash64("cell", F.least("tile", "other"), F.greatest("tile", "other")).alias("pair"), "fp", "id", "tile", (F.col("tile") == F.col("other")).alias("same"))
 
     def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pair, fp, own, same in _runs(batches, 4, 4 * tile):
-            for a, b in (_close(pair[same], fp[same], radius), _close(pair[~same], fp[~same], radius, own[~same])):
+        for pair, fp, ids, own, same in _runs(batches, 5, 4 * tile):
+            for a, b in (_close(pair[same], fp[same], ids[same], radius, direct), _close(pair[~same], fp[~same], ids[~same], radius, direct, own[~same])):
                 yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return edges.unionByName(dealt.repartition(n, "pair").sortWithinPartitions("pair").mapInArrow(tiled, "a long, b long"))
@@ -165,7 +183,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, tile: int
     """
     fps = common.cut(fingerprints(docs, words))
     classes = common.cut(fps.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    found = graph.components(links(classes.select("fp"), radius, tile))
+    found = graph.components(links(classes.select(F.col("fp").alias("id"), "fp"), radius, tile))
     rooted = found.join(classes, found["node"] == classes["fp"]).select("fp", "root", "low")
     smallest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     joined = rooted.join(smallest, "root").select("fp", "component_id")
@@ -173,3 +191,79 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, tile: int
         fps.join(classes, "fp").join(joined.withColumnRenamed("component_id", "linked"), "fp", "left")
         .select("doc_id", "fp", F.coalesce("linked", "low").alias("component_id"))
     )
+
+
+#: Fingerprints of a text for the search by similarity: (words of a shingle, whether repeats count), each with a hash of its own.
+VARIANTS = ((1, True), (1, True), (1, True), (1, False))
+
+
+def variant_fingerprints(text: str, variants: tuple = VARIANTS) -> list[int]:
+    """One fingerprint per variant."""
+    made: dict[tuple, np.ndarray] = {}
+    out = []
+    for k, (words, repeats) in enumerate(variants):
+        if (words, repeats) not in made:
+            h = made.get((words, True))
+            h = shingle_hashes(text, words) if h is None else h
+            made[words, repeats] = h if repeats else np.unique(h)
+        out.append(fold(features.mixed(made[words, repeats], 100 + k)))
+    return out
+
+
+def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3, tile: int = TILE, neighbours: int = 2) -> DataFrame:
+    """(id, root) of texts that are in one group with a smaller text: id and root are xxhash64 of the texts (null: empty).
+
+    Candidates are texts of which any of a few fingerprints (of words, so that they lie close for texts whose longer shingles agree
+    well) differ in at most radius bits; found as in links(), each text with its smallest neighbours. A candidate pair is a link if
+    the sets of its shingles of `words` words have a Jaccard similarity of at least `similarity`, which is computed exactly.
+    """
+    rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("id", F.xxhash64("text"))
+
+    def prints(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.record_batch([batch.column(1), pa.array([variant_fingerprints(t) for t in batch.column(0).to_pylist()], pa.list_(pa.int64()))], names=["id", "fps"])
+
+    fps = common.cut(rows.mapInArrow(common.by_batch(prints), "id long, fps array<long>").groupBy("id").agg(F.first("fps").alias("fps")))
+    found = None
+    for k in range(len(VARIANTS)):
+        part = common.cut(links(fps.select("id", F.element_at("fps", k + 1).alias("fp")), radius, tile, neighbours))
+        found = part if found is None else found.unionByName(part)
+    pairs = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    near = pairs.groupBy("a").agg(F.slice(F.sort_array(F.collect_set("b")), 1, 2 * neighbours).alias("bs")).select("a", F.explode("bs").alias("b"))
+    near = common.cut(near)
+    nodes = common.cut(near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct())
+
+    def shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.unique(shingle_hashes(t, words) >> np.uint64(32)).astype("<u4").tobytes() for t in batch.column(1).to_pylist()]
+        return pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
+
+    sets = common.stash(rows.join(nodes, "id").dropDuplicates(["id"]).select("id", "text").mapInArrow(common.by_batch(shingles), "id long, set binary"), "shingles")
+
+    def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
+        good = []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            good.append(both >= similarity * (len(x) + len(y) - both))
+        return batch.filter(pa.array(good, pa.bool_())).select([0, 1])
+
+    of = lambda end: sets.select(F.col("id").alias(end), F.col("set").alias(f"set_{end}"))
+    checked = near.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(common.by_batch(verify), "a long, b long")
+    return graph.components(checked).where("node <> root").select(F.col("node").alias("id"), "root")
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs without copies and near copies: of each group of similar texts the row with the smallest doc_id stays.
+
+    Of rows that share that doc_id and group, one stays; a null doc_id comes last. Columns are those of docs.
+    """
+    columns = docs.columns
+    names = [f"__c{i}" for i in range(len(columns))]
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(columns, names, strict=True)])
+    text = F.coalesce(F.col(names[columns.index("text")]).cast("string"), F.lit(""))
+    doc = F.coalesce(F.col(names[columns.index("doc_id")]).cast("long"), F.lit((1 << 63) - 1).cast("long"))
+    groups = similar(docs, words, similarity)
+    light = common.cut(rows.select(doc.alias("__doc"), F.xxhash64(text).alias("id")).groupBy("id").agg(F.min("__doc").alias("low"), F.count("*").alias("n")))
+    rooted = common.cut(light.join(groups, "id", "left").select("id", "low", "n", F.coalesce("root", "id").alias("root")))
+    winners = rooted.groupBy("root").agg(F.min(F.struct("low", "id")).alias("best"), F.sum("n").alias("all")).select(F.col("best.id").alias("__id"), F.col("best.low").alias("__low"))
+    kept = rows.withColumn("__id", F.xxhash64(text)).withColumn("__low", doc).join(common.cut(winners), ["__id", "__low"])
+    return kept.dropDuplicates(["__id", "__low"]).select(*[F.col(n).alias(c) for c, n in zip(columns, names, strict=True)])
