@@ -122,7 +122,9 @@ def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
     that hold them and sent to the rest; rows with a null doc_id share none. Repeated rows come out as often as they came in.
     An empty table gives an empty one.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # One key that is never null, so that both joins below read one and the same shuffle of the texts.
+    none = F.lit(-(1 << 63)).cast("long")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def index(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, hashes = [], []
@@ -130,11 +132,11 @@ def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
             own = [xxhash.xxh3_128_digest(c) for c in chunks(text) if len(c) >= LEAST_SHARED]
             ids += [doc] * len(own)
             hashes += own
-        return pa.record_batch([pa.array(ids, pa.int64()), pa.array(hashes, pa.binary())], names=["doc_id", "hash"])
+        return pa.record_batch([pa.array(ids, pa.int64()), pa.array(hashes, pa.binary())], names=["key", "hash"])
 
-    held = common.cut(rows.where("doc_id is not null").mapInArrow(common.by_batch(index), "doc_id long, hash binary"))
-    shared = common.cut(held.groupBy("hash").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")).where("n > 1"))
-    owners = shared.groupBy(F.col("owner").alias("doc_id")).agg(F.collect_list("hash").alias("hashes"))
+    held = common.cut(rows.where(F.col("key") != none).mapInArrow(common.by_batch(index), "key long, hash binary"))
+    shared = common.cut(held.groupBy("hash").agg(F.min("key").alias("owner"), F.count("*").alias("n")).where("n > 1"))
+    owners = shared.groupBy(F.col("owner").alias("key")).agg(F.collect_list("hash").alias("hashes"))
 
     def encode_shared(batch: pa.RecordBatch) -> pa.RecordBatch:
         encode, cols = _encoder(tokenizer), [[] for _ in range(6)]
@@ -149,8 +151,8 @@ def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
                         col.append(v)
         return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.binary(), *[pa.int32()] * 4), strict=True)], names=["hash", "ids", "first", "last", "before", "after"])
 
-    made = rows.join(owners.hint("shuffle_merge"), "doc_id").select("text", "hashes").mapInArrow(common.by_batch(encode_shared), "hash binary, ids binary, first int, last int, before int, after int").dropDuplicates(["hash"])
-    got = held.distinct().join(made, "hash").groupBy("doc_id").agg(F.collect_list(F.struct("hash", "ids", "first", "last", "before", "after")).alias("known"))
+    made = rows.join(owners.hint("shuffle_merge"), "key").select("text", "hashes").mapInArrow(common.by_batch(encode_shared), "hash binary, ids binary, first int, last int, before int, after int").dropDuplicates(["hash"])
+    got = held.distinct().join(made, "hash").groupBy("key").agg(F.collect_list(F.struct("hash", "ids", "first", "last", "before", "after")).alias("known"))
 
     def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
         encode, table = _encoder(tokenizer), tokens.token_bytes(tokenizer)
@@ -167,5 +169,5 @@ def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
             out[2].append(hashlib.sha256(b"".join([table[i] for i in ids]).decode("utf-8", "replace").encode()).hexdigest())
         return pa.record_batch([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    whole = rows.join(got.hint("shuffle_merge"), "doc_id", "left").select("doc_id", "text", "known")
+    whole = rows.join(got.hint("shuffle_merge"), "key", "left").select(F.nullif("key", none).alias("doc_id"), "text", "known")
     return whole.mapInArrow(common.by_batch(finish), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
