@@ -52,9 +52,22 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """The same rows from a Parquet table in the shared folder: more compact than a checkpoint for wide or many rows."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
+    STASHED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Folders that stash() has written, until release() takes them away.
+STASHED: list[str] = []
+
+
+def release(spark: SparkSession, keep: list[str] | None = None) -> None:
+    """Deletes what stash() has written, but for the folders to keep. Only for when no frame that reads them is still to be used."""
+    for path in [p for p in STASHED if p not in (keep or [])]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        STASHED.remove(path)
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -73,7 +86,7 @@ def by_batch(step: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callabl
     return run
 
 
-def sliced(batch: pa.RecordBatch, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(batch: pa.RecordBatch, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about so many bytes, so that long texts do not add up in a Python worker."""
     if batch.nbytes <= most_bytes or batch.num_rows <= 1:
         yield batch

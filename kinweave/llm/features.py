@@ -18,7 +18,7 @@ _CLASS = bytes(_CLASS)
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
         for name, base in (("up", MULTIPLIER), ("down", pow(MULTIPLIER, -1, 1 << 64))):
-            steps = np.full(1 << n.bit_length(), base, np.uint64)
+            steps = np.full(n + n // 8 + 1024, base, np.uint64)
             steps[0] = 1
             _POWERS[name] = np.cumprod(steps, dtype=np.uint64)
     return _POWERS["up"][:n], _POWERS["down"][:n]

@@ -50,5 +50,5 @@ def components(edges: DataFrame) -> DataFrame:
         if labels is None:
             labels = step
         else:
-            labels = labels.alias("l").join(step.alias("s"), F.col("l.root") == F.col("s.node"), "left").select("l.node", F.coalesce("s.root", "l.root").alias("root"))
-    return common.cut(labels)
+            labels = common.cut(labels.alias("l").join(step.alias("s"), F.col("l.root") == F.col("s.node"), "left").select("l.node", F.coalesce("s.root", "l.root").alias("root")))
+    return labels

@@ -95,7 +95,7 @@ def _close(key: np.ndarray, fp: np.ndarray, ids: np.ndarray, radius: int, direct
         at = at[key[at] == key[at + shift]]
         if not len(at):
             break
-        near = (np.bitwise_count(fp[at] ^ fp[at + shift]) <= radius) & (ids[at] != ids[at + shift])
+        near = (np.bitwise_count((fp[at] ^ fp[at + shift]).view(np.uint64)) <= radius) & (ids[at] != ids[at + shift])
         if tile is not None:
             near &= tile[at] != tile[at + shift]
         if near.any():
@@ -194,7 +194,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, tile: int
 
 
 #: Fingerprints of a text for the search by similarity: (words of a shingle, whether repeats count), each with a hash of its own.
-VARIANTS = ((1, True), (1, True), (1, True), (1, False))
+VARIANTS = ((1, True), (1, True), (1, True))
+#: Ids up to which a list of texts to fetch is broadcast (8 bytes each); beyond, it is joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def variant_fingerprints(text: str, variants: tuple = VARIANTS) -> list[int]:
@@ -210,7 +212,7 @@ def variant_fingerprints(text: str, variants: tuple = VARIANTS) -> list[int]:
     return out
 
 
-def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3, tile: int = TILE, neighbours: int = 2) -> DataFrame:
+def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3, tile: int = TILE, neighbours: int = 1) -> DataFrame:
     """(id, root) of texts that are in one group with a smaller text: id and root are xxhash64 of the texts (null: empty).
 
     Candidates are texts of which any of a few fingerprints (of words, so that they lie close for texts whose longer shingles agree
@@ -236,7 +238,8 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: in
         sets = [np.unique(shingle_hashes(t, words) >> np.uint64(32)).astype("<u4").tobytes() for t in batch.column(1).to_pylist()]
         return pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
 
-    sets = common.stash(rows.join(nodes, "id").dropDuplicates(["id"]).select("id", "text").mapInArrow(common.by_batch(shingles), "id long, set binary"), "shingles")
+    listed = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
+    sets = common.stash(rows.join(listed, "id").dropDuplicates(["id"]).select("id", "text").mapInArrow(common.by_batch(shingles), "id long, set binary"), "shingles")
 
     def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
         good = []

@@ -13,7 +13,7 @@ from array import array
 import numpy as np
 
 #: Bound on the units remembered by a worker: about 200 bytes each.
-MOST_UNITS = 800_000
+MOST_UNITS = 600_000
 #: Units longer than this are encoded but not remembered.
 LONGEST_UNIT = 64
 
