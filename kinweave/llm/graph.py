@@ -32,16 +32,19 @@ def spanning_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges (a, b), both long: nodes with one root are connected.
 
-    Every round each node points at the smallest of itself and its neighbours, and edges move to what their ends point at; what
-    becomes a loop goes. Nodes at least halve in each round, so rounds grow with the logarithm of the longest component. Nodes
+    Every round each node points at the first of itself and its neighbours, in an order that is new at random each round, and edges
+    move to what their ends point at, two steps on; what becomes a loop goes. A fixed share of the nodes is expected to go in a round,
+    on long chains too, so rounds grow with the logarithm of the largest component. A root is some node of its component. Nodes
     with very many edges cost no more than others: minima are combined before the shuffle, and the joins are plain equi-joins
     that Spark splits where one key has many rows. An empty edge list gives an empty table.
     """
     left = common.cut(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").distinct())
-    labels = None
+    labels, rounds = None, 0
     while labels is None or not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        points = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root"))
+        rounds += 1
+        order = lambda c: F.struct(F.xxhash64(c, F.lit(rounds)).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
+        points = both.groupBy(F.col("a").alias("node")).agg(F.min(order("b")).alias("low")).select("node", F.least("low", order("node"))["v"].alias("root"))
         once = common.cut(points)
         twice = once.alias("x").join(once.alias("y"), F.col("x.root") == F.col("y.node")).select("x.node", "y.root")
         step = common.cut(twice)
