@@ -131,7 +131,7 @@ def without_entities(gone: DataFrame, entities: DataFrame, edges: DataFrame, can
 def quota(asks: DataFrame, limits: DataFrame) -> DataFrame:
     """(token_id, day, asks, remaining, allowed) from asks (token_id, at) and limits (token_id, ask_daily_limit; null: none)."""
     used = asks.groupBy("token_id", F.to_date("at").alias("day")).agg(F.count("*").alias("asks"))
-    left = F.greatest(F.col("ask_daily_limit") - F.col("asks"), F.lit(0))
+    left = F.when(F.col("ask_daily_limit").isNotNull(), F.greatest(F.col("ask_daily_limit") - F.col("asks"), F.lit(0)))
     return used.join(limits, "token_id", "left").select("token_id", "day", "asks", left.alias("remaining"), F.coalesce(F.col("asks") < F.col("ask_daily_limit"), F.lit(True)).alias("allowed"))
 
 
