@@ -18,7 +18,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, piece string, se
 
 
 def sentence(rng, n):
-    return " ".join(rng.choice("alpha beta gamma delta épsilon zeta Eta, theta. iota's kappa!! ###").strip() if False else rng.choice(["alpha", "beta", "gamma", "delta", "épsilon", "zeta", "Eta,", "theta.", "iota's", "kappa!!", "lambda", "mu", "nu", "xi", "omicron", "pi", "rho", "sigma"]) + str(rng.randrange(40)) for _ in range(n))
+    return " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "épsilon", "zeta", "Eta,", "theta.", "iota's", "kappa!!", "lambda", "mu", "nu", "xi", "omicron", "pi", "rho", "sigma"]) + str(rng.randrange(40)) for _ in range(n))
 
 
 @pytest.fixture(scope="module")
@@ -278,9 +278,10 @@ def test_classifiers_on_held_out_rows(spark):
     rng = random.Random(8)
     common.bound_batches(spark)
     docs, labels = [], []
+    words = ["".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randrange(3, 9))) for _ in range(2000)]
     for i in range(700):
         good, toxic = int(rng.random() < 0.7), int(rng.random() < 0.2)
-        w = sentence(rng, 80).split(" ")
+        w = rng.choices(words, k=80)
         w = w if good else [x.upper() + "%%" for x in w]
         if toxic:
             for k in range(3):

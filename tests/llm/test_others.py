@@ -14,7 +14,7 @@ from kinweave.llm import queries, topk, warc  # noqa: E402
 def vectors(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=6).tolist(), "x") for i in range(220)]
-    rows += [(i, [0.5] * 6, "x") for i in range(300, 330)] + [(400, None, "x"), (450, [1.0, None, 0, 0, 0, 0], "x"), (500, [float("nan")] * 6, "x"), (550, [float("inf")] * 6, "x"), (600, [1.0, 2.0], "x"), (601, [1.0, -2.0], "x"), (650, [], "x"), (None, [1.0] * 6, "x")]
+    rows += [(i, [0.5] * 6, "x") for i in range(300, 330)] + [(400, None, "x"), (450, [1.0, None, 0.0, 0.0, 0.0, 0.0], "x"), (500, [float("nan")] * 6, "x"), (550, [float("inf")] * 6, "x"), (600, [1.0, 2.0], "x"), (601, [1.0, -2.0], "x"), (650, [], "x"), (None, [1.0] * 6, "x")]
     return spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string").repartition(3), rows
 
 
