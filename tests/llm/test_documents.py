@@ -152,6 +152,32 @@ def test_one_of_each_group_of_similar_texts_stays(spark):
     assert simhash.keep_one(df.limit(0)).count() == 0
 
 
+def linked(texts, similarity=0.8):
+    """Index pairs of texts whose five-word shingles have that Jaccard similarity, by brute force."""
+    sets = [shingles(t) for t in texts]
+    return {(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])}
+
+
+def in_one_group(spark, texts):
+    """A function that tells whether two of the texts, by index, are in one group of similar()."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root = {r.id: r.root for r in simhash.similar(df).collect()}
+    ids = [r.id for r in df.selectExpr("doc_id", "xxhash64(text) as id").orderBy("doc_id").collect()]
+    return lambda i, j: root.get(ids[i], ids[i]) == root.get(ids[j], ids[j])
+
+
+@pytest.mark.parametrize("n", [12, 60])
+def test_no_pair_is_dropped_among_many_texts_of_the_same_words(spark, n, monkeypatch):
+    monkeypatch.setattr(simhash, "PAIRS_PER_ROW", 1)
+    rng = random.Random(n)
+    words = sentence(rng, 150).split(" ")
+    texts = [" ".join(rng.sample(words, len(words))) for _ in range(n)]
+    texts += [t + " end" for t in texts] + [f"{texts[0]} end of {k}" for k in range(20)]
+    true, same = linked(texts), in_one_group(spark, texts)
+    assert len(true) >= n + 190 and all(same(i, j) for i, j in true)
+    assert not any(same(i, j) for j in range(n) for i in range(j))
+
+
 def test_token_files(docs, rows, none, spark):
     got = sorted((tuple(r) for r in arrowfile.read_documents(arrowfile.write_tokens(docs, common.new_folder(spark, "t"), BYTE)).collect()), key=lambda r: r[1])
     at, expected = 0, []
