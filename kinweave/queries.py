@@ -121,7 +121,7 @@ def name_gate(spark, sf):
 @query(r"""WITH e AS (SELECT doc_id, text, regexp_extract_all(text, '[.!?\n](?:[ \t\n\v\f\r])', 0) AS x FROM documents)
     SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?\n])([ \t\n\v\f\r])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: s <> '')) AS INTEGER) AS n FROM e WHERE NOT regexp_matches(text, '[.!?\n][\n]')""")
 def sentence_split(spark, sf):
-    return D.table(spark, sf, "documents").where(~F.col("text").rlike(r"[.!?\n][\n]")).select("doc_id", F.size(T.split_sentences(F.col("text"))).alias("n"))
+    return D.table(spark, sf, "documents").select("doc_id", F.size(T.split_sentences(F.coalesce("text", F.lit("")))).alias("n"))
 
 
 @query()

@@ -99,3 +99,21 @@ def test_json_recovery(column):
 def test_sidereal_time(column):
     out = column(R.gmst_radians, [dt.datetime(2000, 1, 1, 12)], "timestamp")
     assert out[0] == pytest.approx(4.894961, abs=1e-5)
+
+
+def test_sentence_split_covers_every_document(spark):
+    from kinweave import queries
+
+    data = "/root/testdata/sf0.001"
+    counts = {}
+    for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect():
+        raw, at, n = (r.text or "").encode(), 0, 0
+        for i, byte in enumerate(raw):
+            if byte in b".!?\n" and (i + 1 == len(raw) or raw[i + 1] in b" \t\n\v\f\r"):
+                at, n = i + 1, n + 1
+        counts[r.doc_id] = n + (at < len(raw))
+    got = {r.doc_id: r.n for r in queries.sentence_split(spark, data).collect()}
+    assert got == counts
+    duckdb = pytest.importorskip("duckdb")
+    sql = duckdb.sql(queries.ORACLES["sentence_split"].replace("FROM documents", f"FROM '{data}/documents.parquet'")).fetchall()
+    assert 0 < len(sql) < len(got) and all(got[i] == n for i, n in sql)
