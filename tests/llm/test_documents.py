@@ -178,6 +178,23 @@ def test_no_pair_is_dropped_among_many_texts_of_the_same_words(spark, n, monkeyp
     assert not any(same(i, j) for j in range(n) for i in range(j))
 
 
+def test_texts_with_appended_or_replaced_passages_are_found(spark):
+    rng = random.Random(3)
+    texts, pairs = [], []
+    for n in (80, 200):
+        for k in range(60):
+            w = sentence(rng, n).split(" ")
+            more = sentence(rng, n // 7 if k % 2 else n // 13).split(" ")
+            texts += [" ".join(w), " ".join(w + more if k % 4 < 2 else w[: n // 2] + more[: n // 13] + w[n // 2 + n // 13 :])]
+            pairs.append((len(texts) - 2, len(texts) - 1))
+    sets = [shingles(t) for t in texts]
+    close = [(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    same = in_one_group(spark, texts)
+    assert len(close) >= 80 and all(same(i, j) for i, j in close)
+    assert not any(same(i, j) for i, j in set(pairs) - set(close))
+    assert (1 - 0.8**simhash.ROWS) ** simhash.BANDS < 2e-5
+
+
 def test_token_files(docs, rows, none, spark):
     got = sorted((tuple(r) for r in arrowfile.read_documents(arrowfile.write_tokens(docs, common.new_folder(spark, "t"), BYTE)).collect()), key=lambda r: r[1])
     at, expected = 0, []
