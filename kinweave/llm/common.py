@@ -27,13 +27,16 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own if that is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir.
+
+    Where that is unset, a local master gets a temporary folder of its own; a cluster gets an error, as its machines share no such folder.
+    """
     place = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="kinweave-")
         shared_dir.own = place
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(place)
     return place
 
 
@@ -42,20 +45,19 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows from a reliable checkpoint: later steps neither recompute them nor lose them with an executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stash(df: DataFrame, name: str) -> DataFrame:
-    """The same rows from a Parquet table in the shared folder: more compact than a checkpoint for wide or many rows."""
+    """The same rows from a Parquet table in the shared folder: later steps neither recompute them nor lose them with an executor."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     STASHED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """stash() for narrow rows between the steps of an operator. One job, and few rows come back in few partitions."""
+    return stash(df, "cut")
+
+
 #: Folders that stash() has written, until release() takes them away.
 STASHED: list[str] = []
 

@@ -86,8 +86,8 @@ def brute_fingerprint(t, words=3):
     return v - (1 << 64) if v >> 63 else v
 
 
-@pytest.mark.parametrize("tile", [simhash.TILE, 2])
-def test_simhash(docs, rows, none, tile):
+@pytest.mark.parametrize("per_row", [simhash.PAIRS_PER_ROW, 0, 1])
+def test_simhash(docs, rows, none, per_row):
     fps = [brute_fingerprint(t) for _, t in rows]
     root = list(range(len(rows)))
 
@@ -105,18 +105,29 @@ def test_simhash(docs, rows, none, tile):
         if d is not None:
             low[find(i)] = min(low.get(find(i), d), d)
     expected = sorted(((d, fps[i], low.get(find(i))) for i, (d, _) in enumerate(rows)), key=key)
-    assert sorted((tuple(r) for r in simhash.near_duplicates(docs, tile=tile).collect()), key=key) == expected
+    assert sorted((tuple(r) for r in simhash.near_duplicates(docs, per_row=per_row).collect()), key=key) == expected
     assert simhash.near_duplicates(none).count() == 0
 
 
-def test_grid_finds_all_close_pairs(spark):
+def test_grid_finds_all_close_pairs(spark, monkeypatch):
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(30)]
     fps = {b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(5))) for b in base for _ in range(6)}
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    df = spark.createDataFrame([(f, f) for f in signed], "id long, fp long")
-    got = {(r.a, r.b) for r in simhash.links(df, 3, direct=10**6).collect()}
-    assert got == {(max(a, b), min(a, b)) for a in signed for b in signed if a != b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
+    df = spark.createDataFrame([(f,) for f in signed], "fp long")
+    near = {(a, b) for a in signed for b in signed if a > b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
+    seen = set()
+
+    def links(pairs):
+        seen.update((r.a, r.b) for r in simhash.within(pairs, 3).collect())
+        return simhash.within(pairs, 3).limit(0)  # no link is kept, so every pair must be offered
+
+    graph_linked = graph.linked
+    for per_row in (simhash.PAIRS_PER_ROW, 0):
+        seen.clear()
+        monkeypatch.setattr(graph, "linked", lambda members, _, __: graph_linked(members, links, per_row))  # noqa: B023
+        simhash.linked(df, 3)
+        assert {(max(p), min(p)) for p in seen} == near
 
 
 def test_components(spark):
