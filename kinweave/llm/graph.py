@@ -37,44 +37,46 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def shared_cells(cells: DataFrame) -> DataFrame:
-    """The rows of cells (cell, id) whose cell has several ids. Of cells with the same ids one is kept."""
+    """The rows of cells (cell, id, more columns) whose cell has several ids. Of cells with the same ids one is kept."""
     mark = (F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"))
     several = cells.groupBy("cell").agg(F.count("*").alias("n"), *mark).where("n > 1")
     one = several.groupBy("n", "x", "y").agg(F.min("cell").alias("cell")).select("cell")
-    return common.cut(cells.join(one, "cell").select("cell", "id"))
+    return common.cut(cells.join(one, "cell"))
 
 
 def linked(members: DataFrame, links: Callable[[DataFrame], DataFrame], per_row: int) -> DataFrame:
     """(node, root) of the ids that have links; nodes with one root are connected by links.
 
-    members: (cell, id), each id once in a cell. links: gives the links among pairs (a, b). Every pair of ids that
+    members: (cell, id, more columns), each id once in a cell. links: gives the links among pairs (a, b, the more columns with _a and _b
+    appended). Every pair of ids that
     share a cell is handed to it, unless links found before connect its ends already, which leaves the components as they are. A cell
-    with up to `per_row` pairs a row gives all of them at once. In larger cells some rows lead, one in the first round and about twice
-    as many in each later one; they are paired with all others and then leave the cell, as do rows in time that links connect with all the
+    with up to `per_row` pairs a row gives all of them at once. In larger cells some rows lead, one in the first round and about eight
+    times as many in each later one; they are paired with all others and then leave the cell, as do rows in time that links connect with all the
     rest. So a cell of like rows is done after a few rounds with a few pairs a row, no cell emits all its pairs at once, and none
     needs to fit into a task. Joins are plain equi-joins on the cell, which Spark splits where one cell has many rows.
     """
-    left, found, round_ = members.withColumn("root", F.col("id")), None, 0
+    more = [c for c in members.columns if c not in ("cell", "id")]
+    left, groups, round_ = members.withColumn("root", F.col("id")), None, 0
     while True:
         rank = F.xxhash64("id", F.lit(round_))
-        sized = left.groupBy("cell").agg(F.count("*").alias("n"), F.min(rank).alias("first")) if found is None else (
+        sized = left.groupBy("cell").agg(F.count("*").alias("n"), F.min(rank).alias("first")) if groups is None else (
             left.groupBy("cell", "root").agg(F.count("*").alias("n"), F.min(rank).alias("first"))
             .groupBy("cell").agg(F.sum("n").alias("n"), F.count("*").alias("roots"), F.min("first").alias("first")).where("roots > 1").drop("roots")
         )
         all_ = F.col("n") - 1 <= 2 * per_row
-        leads = (rank == F.col("first")) | (F.pmod(F.xxhash64(F.lit(round_), "id"), F.col("n")) < (1 << round_))
-        held = common.cut(left.join(sized, "cell").select("cell", "id", "root", all_.alias("whole"), (leads & ~all_).alias("leads")))
-        of = held.where("whole or leads").select("cell", F.col("id").alias("other"), F.col("root").alias("other_root"))
-        pairs = held.join(of, "cell").where("root <> other_root and (id > other or not (whole or leads))").select(F.col("id").alias("a"), F.col("other").alias("b"))
+        leads = (rank == F.col("first")) | (F.pmod(F.xxhash64(F.lit(round_), "id"), F.col("n")) < 8**round_)
+        held = common.cut(left.join(sized, "cell").select("cell", "id", "root", *more, all_.alias("whole"), (leads & ~all_).alias("leads")))
+        of = held.where("whole or leads").select("cell", F.col("id").alias("other"), F.col("root").alias("other_root"), *[F.col(c).alias(f"{c}_b") for c in more])
+        pairs = held.join(of, "cell").where("root <> other_root and (id > other or not (whole or leads))").select(F.col("id").alias("a"), F.col("other").alias("b"), *[x for c in more for x in (F.col(c).alias(f"{c}_a"), F.col(f"{c}_b"))])
         good = common.cut(links(pairs).select("a", "b"))
-        found = good if found is None else found.unionByName(good)
-        rest = held.where("not whole and not leads").select("cell", "id", "root")
+        rest = held.where("not whole and not leads").select("cell", "id", "root", *more)
         round_ += 1
-        groups = components(found)
+        if groups is None or not good.isEmpty():
+            # links so far as stars: as many edges as hold the components together
+            if groups is not None:
+                good = good.unionByName(groups.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+            groups = common.cut(components(good))
         if rest.isEmpty():
             return groups
-        groups = common.cut(groups)
-        # links so far as stars: as many edges as hold the components together
-        found = groups.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         named = groups.select(F.col("node").alias("id"), F.col("root").alias("named"))
-        left = common.cut(rest.join(named, "id", "left").select("cell", "id", F.coalesce("named", "id").alias("root")))
+        left = common.cut(rest.join(named, "id", "left").select("cell", "id", F.coalesce("named", "id").alias("root"), *more))

@@ -144,6 +144,8 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             good.append(both >= similarity * (len(x) + len(y) - both))
         return batch.filter(pa.array(good, pa.bool_())).select([0, 1])
 
+    # Sets of too different sizes cannot be that similar (less by a trifle, as this product is rounded).
+    pairs = pairs.where(F.least("size_a", "size_b") >= (similarity - 1e-9) * F.greatest("size_a", "size_b"))
     pairs = common.cut(pairs.select("a", "b").distinct())
     of_a, of_b = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
     if pairs.count() <= BROADCAST_PAIRS:
@@ -165,12 +167,12 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: in
 
     def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes = [shingle_hashes(t, words) for t in batch.column(0).to_pylist()]
-        return pa.record_batch([batch.column(1), pa.array([fold(h) for h in hashes], pa.int64()), pa.array([band_keys(h) for h in hashes], pa.list_(pa.int64()))], names=["id", "fp", "keys"])
+        return pa.record_batch([batch.column(1), pa.array([fold(h) for h in hashes], pa.int64()), pa.array([band_keys(h) for h in hashes], pa.list_(pa.int64())), pa.array([len(np.unique(h)) for h in hashes], pa.int64())], names=["id", "fp", "keys", "size"])
 
-    known = common.cut(rows.mapInArrow(common.by_batch(keys), "id long, fp long, keys array<long>").dropDuplicates(["id"]))
+    known = common.cut(rows.mapInArrow(common.by_batch(keys), "id long, fp long, keys array<long>, size long").dropDuplicates(["id"]))
     close = linked(known.select("fp").distinct(), radius).withColumnRenamed("node", "fp")
-    alike = known.select("id", "fp").join(close, "fp", "left").select(F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")).alias("cell"), "id")
-    members = graph.shared_cells(known.select(F.explode("keys").alias("cell"), "id").unionByName(alike))
+    alike = known.select("id", "fp", "size").join(close, "fp", "left").select(F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")).alias("cell"), "id", "size")
+    members = graph.shared_cells(known.select(F.explode("keys").alias("cell"), "id", "size").unionByName(alike))
 
     def shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [np.unique(shingle_hashes(t, words)).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
