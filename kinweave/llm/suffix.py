@@ -19,12 +19,17 @@ from pyspark.sql import functions as F
 from . import anchors, common
 
 WIDTH = 400
-#: Window starts that are judged together, bytes of a shard, and bytes of one group of like windows that a suffix array takes.
-STEP, SHARD, GROUP = 64, 1 << 19, 1 << 20
+#: Window starts that are judged together, bytes from which a shard is full, and bytes of one group of like windows that a suffix array
+#: takes; a shard holds less than the sum of both.
+STEP, SHARD, GROUP = 64, 1 << 18, 1 << 19
 #: A byte that no UTF-8 text holds.
 BETWEEN = 0xFF
 
 
+#: Positions a bucket on average from which buckets are induced as a whole.
+WIDE = 256
+
+
 def _by_char(char: np.ndarray) -> np.ndarray:
     return np.argsort(char, kind="stable")
 
@@ -97,33 +102,60 @@ def _induce(t: np.ndarray, s_type: np.ndarray, seeds: np.ndarray, starts: np.nda
     return sa
 
 
-def _by_doubling(names: np.ndarray) -> np.ndarray:
-    """The suffix array of an array of numbers, by doubling the length by which ranks tell suffixes apart."""
-    n = len(names)
-    rank, k = names.astype(np.int64), 1
-    while True:
-        second = np.full(n, -1, np.int64)
-        second[: n - k] = rank[k:] if k < n else second[:0]
-        key = rank * (int(rank.max()) + 2) + second + 1
-        order = np.argsort(key, kind="stable")
-        new = np.empty(n, np.int64)
-        new[order] = np.r_[0, np.cumsum(key[order][1:] != key[order][:-1])]
-        rank, k = new, 2 * k
-        if rank[order[-1]] == n - 1 or k >= n:
-            return order
-
-
-def suffix_array(t: np.ndarray, small: int = 1 << 9) -> np.ndarray:
+def _induce_each(t: np.ndarray, s_type: np.ndarray, seeds: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """As _induce, suffix by suffix: for short strings and for those of many different numbers, whose buckets are small."""
+    char, small, tail = t.tolist(), s_type.tolist(), ends.tolist()
+    sa = [-1] * len(char)
+    for p in reversed(seeds.tolist()):
+        c = char[p]
+        tail[c] -= 1
+        sa[tail[c]] = p
+    head, end = starts.tolist(), len(char) - 1
+    sa[head[char[end]]] = end  # the last suffix is of the larger type
+    head[char[end]] += 1
+    for at in range(len(char)):
+        p = sa[at] - 1
+        if p >= 0 and not small[p]:
+            c = char[p]
+            sa[head[c]] = p
+            head[c] += 1
+    tail = ends.tolist()
+    for at in range(end, -1, -1):
+        p = sa[at] - 1
+        if p >= 0 and small[p]:
+            c = char[p]
+            tail[c] -= 1
+            sa[tail[c]] = p
+    return np.array(sa, np.int64)
+
+
+def _named(t: np.ndarray, ordered: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The rank of each LMS substring t[p:stop[p]], p in sorted order: like ones have one. Hashes part most, the bytes decide."""
+    first, second = ordered[:-1], ordered[1:]
+    digest = anchors.Hashed(t.astype(np.uint64)).of(ordered, stop[ordered])
+    length = stop[ordered] - ordered
+    # The last one ends with the string, so it is like no other.
+    same = (digest[1:] == digest[:-1]) & (length[1:] == length[:-1]) & (stop[second] < len(t)) & (stop[first] < len(t))
+    k = np.flatnonzero(same)
+    if len(k):
+        size = length[k]
+        edge = np.cumsum(size) - size
+        step = np.arange(int(size.sum())) - np.repeat(edge, size)
+        equal = t[np.repeat(first[k], size) + step] == t[np.repeat(second[k], size) + step]
+        same[k] = np.logical_and.reduceat(equal, edge)
+    return np.r_[0, np.cumsum(~same)]
+
+
+def suffix_array(t: np.ndarray, wide: int = WIDE) -> np.ndarray:
     """The suffix array of small whole numbers, by induced sorting; a suffix that is a prefix of another comes first.
 
-    Suffixes are classified as smaller or larger than the next one; LMS substrings are sorted by inducing from their unsorted
-    places, named, and the string of names is solved recursively (by doubling ranks once it has over `small` names); inducing
-    from the LMS suffixes in that order gives the rest.
+    Suffixes are classified as smaller or larger than the next one; leftmost-smaller (LMS) substrings are sorted by inducing from
+    their unsorted places and named, the string of names is solved by recursion unless all differ, and inducing from the LMS suffixes
+    in that order gives the rest. Inducing goes bucket by bucket where these hold `wide` positions on average, else suffix by suffix.
     """
     n = len(t)
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: t[i:].tolist()), np.int64)
-    t = t.astype(np.int64) if t.dtype != np.uint8 else t
     less, more = t[:-1] < t[1:], t[:-1] > t[1:]
     # The type of the next position that differs; the last suffix is of the larger type, as the end is smaller than all.
     decided = np.r_[less | more, True]
@@ -133,27 +165,22 @@ def suffix_array(t: np.ndarray, small: int = 1 << 9) -> np.ndarray:
     size = np.bincount(t)
     ends = np.cumsum(size)
     starts = ends - size
+    induce = _induce if n >= wide * np.count_nonzero(size) else _induce_each
     if len(lms) > 1:
-        sa = _induce(t, s_type, lms, starts, ends)
+        sa = induce(t, s_type, lms, starts, ends)
         is_lms = np.zeros(n, bool)
         is_lms[lms] = True
         ordered = sa[is_lms[sa]]
-        # LMS substrings reach to the next LMS place; equal hashes of equal lengths name them alike.
         stop = np.full(n, n)
-        stop[lms[:-1]] = lms[1:] + 1
-        digest = anchors.Hashed(t.astype(np.uint64)).of(ordered, stop[ordered])
-        length = stop[ordered] - ordered
-        same = (digest[1:] == digest[:-1]) & (length[1:] == length[:-1])
-        same &= stop[ordered[1:]] < n
-        name = np.r_[0, np.cumsum(~same)]
-        by_place = np.empty(n, np.int64)
-        by_place[ordered] = name
-        reduced = by_place[lms]
+        stop[lms[:-1]] = lms[1:] + 1  # an LMS substring reaches to the next LMS place
+        name = _named(t, ordered, stop)
         if name[-1] + 1 == len(lms):
             lms = ordered
         else:
-            lms = lms[suffix_array(reduced) if name[-1] < small else _by_doubling(reduced)]
-    return _induce(t, s_type, lms, starts, ends)
+            by_place = np.empty(n, np.int64)
+            by_place[ordered] = name
+            lms = lms[suffix_array(by_place[lms], wide)]
+    return induce(t, s_type, lms, starts, ends)
 
 
 def permuted_lcp(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
@@ -255,10 +282,7 @@ def _judged(strings: DataFrame, width: int, most: int, shard: int) -> DataFrame:
             break
         sizes = common.cut(alike.groupBy("group").agg(F.count("*").alias("strings"), F.sum(F.col("n") + width).alias("bytes")).where("strings > 1"))
         different = alike.join(sizes, "group").select("group", "far", "n", "copies", "one.*", "bytes")
-        total = sizes.where(F.col("bytes") <= most).agg(F.sum("bytes")).first()[0] or 0
-        shards = max(common.partitions(strings.sparkSession), -(-total // shard))
-        dealt = different.where(F.col("bytes") <= most).withColumn("shard", F.pmod(F.xxhash64("group"), F.lit(shards)))
-        marks.append(_by_shard(dealt, width, min(shards, 20_000)))
+        marks.append(_by_shard(different.where(F.col("bytes") <= most), width, shard))
         large = common.cut(different.where(F.col("bytes") > most).drop("bytes", "copies"))
         if large.isEmpty():
             break
@@ -276,8 +300,11 @@ def _judged(strings: DataFrame, width: int, most: int, shard: int) -> DataFrame:
     return out
 
 
-def _by_shard(dealt: DataFrame, width: int, partitions: int) -> DataFrame:
-    """The repeated windows of each shard's strings, by suffix array and permuted common prefixes."""
+def _by_shard(dealt: DataFrame, width: int, shard: int) -> DataFrame:
+    """The repeated windows of the strings of each group, by suffix array and permuted common prefixes.
+
+    A shard is so many whole groups that lie side by side in a sorted partition that they have `shard` bytes.
+    """
 
     def judge(rows: list[dict]) -> pa.RecordBatch:
         out: list[list] = [[], [], [], []]
@@ -289,18 +316,19 @@ def _by_shard(dealt: DataFrame, width: int, partitions: int) -> DataFrame:
         return pa.record_batch([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["d", "t", "start", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[dict] = []
+        rows, held = [], 0
         for batch in batches:
             for r in batch.to_pylist():
-                if rows and rows[-1]["shard"] != r["shard"]:
+                if held >= shard and rows[-1]["group"] != r["group"]:
                     yield judge(rows)
-                    rows = []
+                    rows, held = [], 0
                 rows.append(r)
+                held += len(r["text"])
         if rows:
             yield judge(rows)
 
-    cols = dealt.select("shard", "d", "t", "start", "text")
-    return cols.repartition(partitions, "shard").sortWithinPartitions("shard").mapInArrow(run, "d long, t long, start int, end int")
+    cols = dealt.select("group", "d", "t", "start", "text")
+    return cols.repartition("group").sortWithinPartitions("group").mapInArrow(run, "d long, t long, start int, end int")
 
 
 def removals(docs: DataFrame, width: int = WIDTH, most: int = GROUP, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:

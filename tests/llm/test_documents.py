@@ -287,7 +287,7 @@ def test_suffix_array():
         s = bytes(rng.randrange(1, rng.choice([2, 3, 6, 200])) for _ in range(rng.randrange(1, 90)))
         t = np.frombuffer(s, np.uint8)
         sa = suffix.suffix_array(t)
-        assert sa.tolist() == sorted(range(len(s)), key=lambda i: s[i:])
+        assert sa.tolist() == sorted(range(len(s)), key=lambda i: s[i:]) == suffix.suffix_array(t, wide=1).tolist()
         lcp = suffix.permuted_lcp(t, sa, 12)
         for x, y in zip(sa[1:].tolist(), sa[:-1].tolist(), strict=True):
             n = 0
@@ -296,6 +296,28 @@ def test_suffix_array():
             assert lcp[x] == n
 
 
+@pytest.mark.parametrize("wide", [1, 1 << 30])
+def test_suffix_array_recurs_on_many_names(monkeypatch, wide):
+    rng = random.Random(8)
+    words = [bytes(rng.randrange(97, 123) for _ in range(rng.randrange(2, 9))) for _ in range(900)]
+    s = b" ".join(rng.choice(words) for _ in range(9000)) + b"x" * 50
+    s += s[2000:9000]
+    calls, whole = [], suffix.suffix_array
+    monkeypatch.setattr(suffix, "suffix_array", lambda t, w: calls.append((len(t), int(t.max()) + 1)) or whole(t, w))
+    assert whole(np.frombuffer(s, np.uint8), wide).tolist() == sorted(range(len(s)), key=lambda i: s[i : i + 9100])
+    assert calls[0][1] > 512 and len(calls) > 1
+
+
+def test_pieces_of_long_texts_meet(monkeypatch):
+    monkeypatch.setattr(anchors, "PIECE", 1000)
+    rng = random.Random(9)
+    raw = bytes(rng.randrange(97, 123) for _ in range(5000))
+    starts = [(lo, hi) for _, lo, hi, _ in anchors.regions(raw, 400)]
+    assert [k for lo, hi in starts for k in range(lo, hi + 1)] == list(range(4601))
+    whole = lambda at, regions: next((h, a - at) for h, lo, hi, a in regions if lo <= at <= hi)
+    assert all(whole(k, anchors.regions(raw, 400)) == whole(k + 77, anchors.regions(b"y" * 77 + raw, 400)) for k in range(0, 4601, 50))
+
+
 def test_anchors_of_equal_windows_are_equal():
     rng = random.Random(6)
     shared = bytes(rng.randrange(97, 123) for _ in range(500))
