@@ -10,15 +10,15 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, features
 
 #: Most labelled rows that train the FTRL model; most confirmed positives and unlabelled texts that train the PU model.
 FTRL_SAMPLE, POSITIVES, UNLABELLED = 6000, 1500, 4500
-#: Bytes of a text whose features may stand in a training sample; longer ones train no model (they are scored like all others).
-LONGEST_TRAINED = 65_536
+#: Bytes of a training sample: rows of the sample are taken in its order, whole texts of any length, until they have so many.
+SAMPLE_BYTES = 1 << 25
 
 
 def training_labels(labels: DataFrame, column: str, modulus: int, held_out: int) -> DataFrame:
@@ -27,10 +27,16 @@ def training_labels(labels: DataFrame, column: str, modulus: int, held_out: int)
     return rows.where(F.col("label").isin(0, 1) & (common.crc_mod("doc_id", modulus) != held_out))
 
 
-def sampled(docs: DataFrame, picked: DataFrame) -> DataFrame:
-    """(label, text) of the picked rows (doc_id, label), whose number the caller has bounded."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length(F.coalesce("text", F.lit(""))) <= LONGEST_TRAINED)
-    return rows.join(F.broadcast(picked), "doc_id").select("label", "text")
+def sampled(docs: DataFrame, picked: DataFrame, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(label, text) of the picked rows (doc_id, label), whose number the caller has bounded.
+
+    In the order of a hash of doc_id, rows count until those before them have `most_bytes`; so at most one text goes beyond.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sized = rows.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes")).join(F.broadcast(picked), "doc_id")
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    taken = sized.groupBy("doc_id").agg(F.sum("bytes").alias("bytes")).withColumn("before", F.sum("bytes").over(order) - F.col("bytes")).where(F.col("before") < most_bytes)
+    return rows.join(F.broadcast(picked.join(taken.select("doc_id"), "doc_id")), "doc_id").select("label", "text")
 
 
 def _table(df: DataFrame, extract: Callable[[list], tuple[np.ndarray, ...]], valued: bool) -> list[tuple[int, np.ndarray, np.ndarray]]:
@@ -132,12 +138,12 @@ def quality(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int
     return _scored(docs, lambda texts: linear_score(shared.value)(texts), modulus, held_out, threshold)
 
 
-def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, start: np.ndarray, epochs: int = 200, rate: float = 0.02, decay: float = 1e-3, beta: float = 0.0) -> np.ndarray:
+def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, start: np.ndarray, epochs: int = 300, rate: float = 0.05, decay: float = 1e-4, beta: float = 0.0) -> np.ndarray:
     """Weights (the last is the bias) that minimise the non-negative positive-unlabelled risk with the sigmoid loss.
 
     The risk is prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)]); where the second part falls under -beta, the step goes
     against its gradient instead, which is what keeps a flexible model from fitting the positives away. Weights stay at or above
-    zero, as every feature here speaks for the positive class, and are drawn towards where they start.
+    zero, as every feature here speaks for the positive class, and decay.
     """
     w, m, s = start.astype(np.float64), np.zeros(len(start)), np.zeros(len(start))
     for t in range(1, epochs + 1):
@@ -148,18 +154,27 @@ def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, start: np.n
         negative = lu.mean() - prior * lp.mean()
         d_neg = by(unlabelled, slope_u) - prior * by(positive, slope_p)
         grad = (-prior * by(positive, slope_p) + d_neg) if negative >= -beta else -d_neg
-        grad[:-1] += decay * (w[:-1] - start[:-1])
+        grad[:-1] += decay * w[:-1]
         m, s = 0.9 * m + 0.1 * grad, 0.999 * s + 0.001 * grad * grad
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
         w[:-1] = np.maximum(w[:-1], 0)
     return w
 
 
+def calibrated(w: np.ndarray, unlabelled: np.ndarray, prior: float) -> np.ndarray:
+    """The weights with the bias at which the mean score of the unlabelled texts is the class prior, found by halving."""
+    g, low, high = unlabelled @ w[:-1], -40.0, 40.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if sigmoid(g + middle).mean() < prior else (low, middle)
+    return np.r_[w[:-1], low]
+
+
 def toxicity_model(docs: DataFrame, labels: DataFrame, column: str = "toxic", modulus: int = 4, held_out: int = 2, positives: int = POSITIVES, unlabelled: int = UNLABELLED, kept: int = 2048, default_prior: float = 0.1) -> tuple[np.ndarray, float]:
     """Weights by feature and the bias, from confirmed examples and unlabelled texts, both bounded and chosen by a hash of doc_id.
 
     The class prior is the share of toxic rows among the training labels. Of the hashed features, the `kept` ones that tell
-    confirmed from unlabelled texts best take part. Without confirmed examples every score is the prior.
+    confirmed from unlabelled texts best take part; their weights start at zero and come from nnpu() alone. Without confirmed examples every score is the prior.
     """
     known = common.cut(training_labels(labels, column, modulus, held_out))
     count = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("ones")).first()
@@ -194,8 +209,8 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, column: str = "toxic", mo
             out[i, at[at >= 0]] = 1
         return out
 
-    start = np.r_[np.clip(np.log(share_p[chosen] / negative[chosen]), 0, 6) / 2, -4.0]
-    w = nnpu(matrix(p_rows), matrix(u_rows), prior, start)
+    in_u = matrix(u_rows)
+    w = calibrated(nnpu(matrix(p_rows), in_u, prior, np.r_[np.zeros(len(chosen)), np.log(prior / (1 - prior))]), in_u, prior)
     w_of[chosen] = w[:-1]
     return w_of, float(w[-1])
 

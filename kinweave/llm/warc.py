@@ -48,7 +48,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 def dictionary(pages: DataFrame) -> bytes:
     """A dictionary trained on a bounded sample of payloads, or b'' where there are too few to train on."""
-    sample = pages.where("html is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_PAGES).select(F.substring("html", 1, SAMPLE_BYTES).alias("h")).collect()
+    # The ids first, so that no pages but these travel.
+    some = pages.where("html is not null and page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.substring("html", 1, SAMPLE_BYTES).alias("h"))
+    ids = common.cut(some.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_PAGES).distinct())
+    sample = some.join(F.broadcast(ids), "page_id").groupBy("page_id").agg(F.min("h").alias("h")).orderBy("page_id").collect()
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [r.h.encode() for r in sample]).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -128,8 +131,9 @@ def parse(raw: bytes) -> tuple:
 def write_archives(pages: DataFrame, folder: str, level: int = 3) -> DataFrame:
     """Writes every row of pages (page_id, url, html; null html: empty) as a record and returns the archives: path, records.
 
-    Of equal payloads of at least REVISIT_BYTES bytes, the rows with the largest page_id are responses, the others revisit them.
-    An empty table gives archives without records, or none.
+    Of equal payloads of at least REVISIT_BYTES bytes, the rows with the largest page_id are responses, the others revisit them; rows
+    repeated with that page_id are all responses, and each row is a record of its own. A null page_id is never the largest. An empty
+    table gives archives without records, or none.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
