@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 
 import numpy as np
@@ -15,13 +16,16 @@ from . import common, tokens
 
 #: The rolling hash: bytes it spans, its odd multiplier, and the bits that are zero at a cut (chunks of 2^11 bytes on average).
 SPAN, MULTIPLIER, CUT_BITS = 32, 0x9E3779B97F4A7C15, 11
-#: Chunks of fewer bytes are not worth sharing.
-LEAST_SHARED = 256
+#: Chunks of fewer bytes are not worth sharing; longer ones than the most are cut.
+LEAST_SHARED, LONGEST = 256, 1 << 16
 #: The fixed pre-tokenizer pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Before a single space between such characters the pre-tokenizer always starts anew, whatever else the text holds.
 SAFE = re.compile("[!-~À-ÖØ-öø-ÿ] (?=[!-~À-ÖØ-öø-ÿ])")
 
+#: What the pattern splits in all its ways.
+PROBE = "It's what they'll say, I'd think:  two  spaces\n\n\ttabs 12 345,678 ÄÖ naïve 日本語 テキスト!! ... don't (x) #1 $2.50 \u00a0nbsp ' 's'T trailing  "
+
 _powers: dict[str, np.ndarray] = {}
 _encoders: dict = {}
 
@@ -51,27 +55,39 @@ def chunks(text: str) -> list[bytes]:
     at = at[at < len(b)]
     at = at[(b[at] & 0xC0) != 0x80]
     edges = [0, *at.tolist(), len(raw)]
+    if max(np.diff(edges)) > LONGEST:
+        within = np.concatenate([np.arange(i, j, LONGEST) for i, j in zip(edges[:-1], edges[1:], strict=True)])
+        while (inside := (b[within] & 0xC0) == 0x80).any():
+            within = within - inside
+        edges = [*within.tolist(), len(raw)]
     return [raw[i:j] for i, j in zip(edges[:-1], edges[1:], strict=True)]
 
 
 def _encoder(path: str):
     """Encodes text as the tokenizers library does with the file: the same vocabulary, merges and special tokens, in a faster encoder.
 
-    Only for files whose ids are the order of their merges, which is checked; for others the library itself encodes.
+    Only for byte-level files with the fixed pattern whose ids are the order of their merges, which is checked, as is a probe text; for
+    others the library itself encodes.
     """
     if path not in _encoders:
         made = tokens.load(path)
         table = tokens.token_bytes(path)
         special = {t.content: i for i, t in made.get_added_tokens_decoder().items()}
         ranks = {raw: i for i, raw in enumerate(table) if i not in special.values()}
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        split, model = said.get("pre_tokenizer") or {}, said["model"]
         plain = made.normalizer is None and len(ranks) == len(table) - len(special) and all(len(x) == 1 for x in table[:256])
+        plain &= split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        plain &= model.get("type") == "BPE" and not (model.get("dropout") or model.get("ignore_merges") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"))
+        _encoders[path] = library = lambda text: made.encode(text, add_special_tokens=False).ids
         if plain:
             import tiktoken
 
             fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-            _encoders[path] = lambda text: fast.encode(text, allowed_special="all") if any(s in text for s in special) else fast.encode_ordinary(text)
-        else:
-            _encoders[path] = lambda text: made.encode(text, add_special_tokens=False).ids
+            encode = lambda text: fast.encode(text, allowed_special="all") if any(s in text for s in special) else fast.encode_ordinary(text)
+            if encode(PROBE) == library(PROBE):
+                _encoders[path] = encode
     return _encoders[path]
 
 
@@ -95,8 +111,9 @@ def encode_chunk(text: str, encode) -> tuple[list[int], int, int, int, int]:
 def encode_text(parts: list[str], known: list[tuple | None], encode) -> list[int]:
     """Ids of the whole text from its chunks; known: what encode_chunk() gave for those encoded elsewhere.
 
-    The ids on both sides of a join, back and forth to the nearest safe place, are made anew from the text over the join. A chunk
-    without a safe place becomes part of that text as a whole.
+    A join is repaired by encoding anew the text over it, from the last safe place before it to one after it, and on to the next
+    one: when the longer text gives the same ids and then just those that the chunk has there, the chunk's ids go on from the first
+    of the two. Else the repair goes on from the second. A chunk without such places becomes part of that text as a whole.
     """
     out: list[int] = []
     over = ""  # text over the join, since the last safe place
@@ -106,8 +123,26 @@ def encode_text(parts: list[str], known: list[tuple | None], encode) -> list[int
             over += part
             continue
         if k:
-            out += encode(over + part[:first])
-            out += ids[before : len(ids) - after]
+            made = encode(over + part[:first])
+            for place in SAFE.finditer(part, first):
+                place = place.start() + 1
+                if place > last:
+                    break
+                if place == first:
+                    continue
+                upto = before + len(encode(part[first:place]))
+                longer = encode(over + part[:place])
+                if longer == made + ids[before:upto]:
+                    break
+                made, first, before = longer, place, upto
+            else:
+                place = last
+            if place > last or first >= last:
+                # no agreement within the chunk: all of it up to its last safe place has been encoded anew
+                out += encode(over + part[:last])
+            else:
+                out += made
+                out += ids[before : len(ids) - after]
         else:
             out += ids[: len(ids) - after]
         over = part[last:]

@@ -17,6 +17,10 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 #: Pieces packed together by one call, and the fill below which a sequence is opened again for the second round.
 GROUP, REOPEN = 2000, 0.985
+#: Most rounds that open sequences again.
+ROUNDS = 40
+#: Largest items of a bin that are tried two at a time.
+PAIRED = 24
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, most: int = 4096) -> DataFrame:
@@ -57,8 +61,8 @@ def best_fit(lengths: np.ndarray, most: int) -> list[list[int]]:
     return bins
 
 
-def local_search(lengths: np.ndarray, bins: list[list[int]], most: int, sources: int = 16) -> list[list[int]]:
-    """Empties the least filled bins: their items move to other bins, or one or two of them change places with one item there.
+def local_search(lengths: np.ndarray, bins: list[list[int]], most: int) -> list[list[int]]:
+    """Empties bins, the least filled first, until there are as few as the lengths allow or every underfull bin has been tried: their items move to other bins, or one or two of them change places with one item there.
 
     Every step makes the sum of squared fills larger, so the search ends. A bin that ends up empty is dropped; a bin is only
     changed for good if the search finds a place for all of it, or if the steps leave it emptier and another bin fuller.
@@ -68,15 +72,19 @@ def local_search(lengths: np.ndarray, bins: list[list[int]], most: int, sources:
     for b, items in enumerate(bins):
         where[items] = b
     fill = np.bincount(where, lengths, len(bins)).astype(np.int64)
-    for source in np.argsort(fill, kind="stable")[:sources].tolist():
-        for _ in range(200):
+    fewest, used = -(-int(lengths.sum()) // most), len(bins)
+    for source in np.argsort(fill, kind="stable").tolist():
+        if used <= fewest or fill[source] >= most:
+            break
+        while True:
             own = np.flatnonzero(where == source)
             if not len(own):
+                used -= 1
                 break
             gap = most - fill[where]
             other = (where != source) & (gap > 0)
             best = None  # (gain of squared fill / 2, items that go, item that comes, target)
-            own = own[np.argsort(-lengths[own], kind="stable")][:32]
+            own = own[np.argsort(-lengths[own], kind="stable")]
             for a in own.tolist():  # moves
                 n = lengths[a]
                 to = np.flatnonzero(other & (gap >= n))
@@ -86,7 +94,7 @@ def local_search(lengths: np.ndarray, bins: list[list[int]], most: int, sources:
                     if gain > 0 and (best is None or gain > best[0]):
                         best = (gain, (a,), None, where[t])
             if best is None:  # one for one, then two for one
-                pairs = [(a,) for a in own.tolist()] + [(a, b) for i, a in enumerate(own[:12].tolist()) for b in own[i + 1 : 12].tolist()]
+                pairs = [(a,) for a in own.tolist()] + [(a, b) for i, a in enumerate(own[:PAIRED].tolist()) for b in own[i + 1 : PAIRED].tolist()]
                 for go in pairs:
                     n = int(lengths[list(go)].sum())
                     d = n - lengths
@@ -119,8 +127,8 @@ def _packer(level: int, most: int):
         seq, offset, full = (np.zeros(len(rows), np.int64) for _ in range(3))
         for b, items in enumerate(bins):
             ends = np.cumsum(lengths[items])
-            seq[items], offset[items], full[items] = (level << 60) + (int(key[0]) << 20) + b, ends - lengths[items], ends[-1]
-        return rows.drop(columns="part").assign(sequence_id=seq, offset=offset, filled=full)
+            seq[items], offset[items], full[items] = (level << 56) + (int(key[0]) << 20) + b, ends - lengths[items], ends[-1]
+        return rows.drop(columns="__part").assign(sequence_id=seq, offset=offset, __filled=full)
 
     return pack
 
@@ -129,22 +137,26 @@ def pack(pieces: DataFrame, most: int = 4096) -> DataFrame:
     """Places pieces (rows with a long `length` from 1 to most) in sequences: adds sequence_id and offset.
 
     Groups of about GROUP pieces, dealt at random so that no document, source or run of equal rows makes one larger, are packed by
-    best fit and local search. What lies in sequences filled under REOPEN of `most` is dealt anew and packed once more, so that
-    groups share what they had left. Pieces of full length take no part. An empty table gives an empty one.
+    best fit and local search. What lies in sequences filled under REOPEN of `most` is dealt anew and packed again, so that groups
+    share what they had left, until one group holds it all or there are no fewer such sequences than before. Pieces of full length
+    take no part. Columns of pieces keep their names; sequence_id and offset must not be among them. An empty table gives an empty one.
     """
-    spark = pieces.sparkSession
     columns = pieces.columns
+    dealt = lambda df, n: df.withColumn("__part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)))
     held = common.cut(pieces)
-    dealt = lambda df, n: df.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema) + ", sequence_id long, offset long, filled long"
-    full = held.where(F.col("length") >= most).withColumn("sequence_id", F.lit(3 << 60) + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    rest = held.where(F.col("length") < most)
-    first = common.cut(dealt(rest, max(1, -(-rest.count() // GROUP))).groupBy("part").applyInPandas(_packer(0, most), schema))
-    opened = first.where(F.col("filled") < int(most * REOPEN)).select(columns)
-    n = opened.count()
-    second = dealt(opened, max(1, -(-n // GROUP))).groupBy("part").applyInPandas(_packer(1, most), schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema) + ", sequence_id long, offset long, __filled long"
     out = [*columns, "sequence_id", "offset"]
-    return full.select(out).unionByName(first.where(F.col("filled") >= int(most * REOPEN)).select(out)).unionByName(second.select(out))
+    packed = held.where(F.col("length") >= most).withColumn("sequence_id", F.lit(3 << 60) + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long")).select(out)
+    left, n, level, before = held.where(F.col("length") < most), None, 0, None
+    while True:
+        n = left.count()
+        done = common.cut(dealt(left, max(1, -(-n // GROUP))).groupBy("__part").applyInPandas(_packer(level, most), schema))
+        open_ = F.col("__filled") < int(most * REOPEN)
+        now = done.where(open_).select("sequence_id").distinct().count()
+        if n <= GROUP or level == ROUNDS or (before is not None and now >= before):
+            return packed.unionByName(done.select(out))
+        packed = packed.unionByName(done.where(~open_).select(out))
+        left, before, level = done.where(open_).select(columns), now, level + 1
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, most: int = 4096) -> DataFrame:

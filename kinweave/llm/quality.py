@@ -1,7 +1,7 @@
 """Quality rules with adaptive thresholds: mergeable quantile sketches per language and source replace fixed cutoffs.
 
-DataFrame functions only. A sketch is a histogram of whole numbers in bins of under 1.6 % relative width (at most about 2,400 of
-them), so sketches merge by adding counts, in any order and with one result; sources merge into languages and into the whole.
+DataFrame functions only. A sketch is a histogram of whole numbers in bins of under 1.6 % relative width (about 450 for each factor of eight
+beyond 1,024), so sketches merge by adding counts, in any order and with one result; sources merge into languages and into the whole.
 """
 
 from __future__ import annotations
@@ -57,9 +57,17 @@ def metrics() -> dict[str, Column]:
     return {"word_length": whole(100 * F.col("word_chars"), words), "symbols": whole(1000 * F.col("n_symbols"), words), "duplicate_lines": whole(1000 * F.col("n_dup_lines"), lines), "repetition": whole(1000 * F.col("n_repeat_words"), words)}
 
 
+#: Steps of the bins: below the first number every whole number has its own, below each next one they are so wide. Metrics of texts of any
+#: length Spark can hold lie below the last step.
+BINS = [(1 << (13 + 3 * k), 16 << (3 * k)) for k in range(12)]
+
+
 def bin_of(v: Column) -> Column:
     """The sketch's bin, named by its lower end."""
-    return F.when(v < 1024, v).when(v < 8192, v - v % 16).when(v < 65536, v - v % 128).when(v < 1 << 20, v - v % 2048).otherwise(F.lit(1 << 20))
+    out = F.when(v < 1024, v)
+    for below, width in BINS:
+        out = out.when(v < below, v - v % width)
+    return out.otherwise(v - v % BINS[-1][1])
 
 
 def sketches(rows: DataFrame) -> DataFrame:

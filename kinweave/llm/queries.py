@@ -87,7 +87,8 @@ ORACLES: dict[str, str] = {
             SELECT lang, source, unnest(['word_length', 'symbols', 'duplicate_lines', 'repetition']) AS rule, unnest([word_length, symbols, duplicate_lines, repetition]) AS v FROM b WHERE NOT base_failed
         ),
         k AS (
-            SELECT lang, source, rule, count(*) AS n, CASE WHEN v < 1024 THEN v WHEN v < 8192 THEN v - v % 16 WHEN v < 65536 THEN v - v % 128 WHEN v < 1048576 THEN v - v % 2048 ELSE 1048576 END AS bin
+            SELECT lang, source, rule, count(*) AS n, CASE WHEN v < 1024 THEN v WHEN v < 8192 THEN v - v % 16 WHEN v < 65536 THEN v - v % 128 WHEN v < 524288 THEN v - v % 1024 WHEN v < 4194304 THEN v - v % 8192
+                WHEN v < 33554432 THEN v - v % 65536 WHEN v < 268435456 THEN v - v % 524288 WHEN v < 2147483648 THEN v - v % 4194304 ELSE v - v % 33554432 END AS bin
             FROM u GROUP BY lang, source, rule, bin
         ),
         l AS (

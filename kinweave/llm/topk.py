@@ -15,7 +15,7 @@ from . import common
 
 #: Vectors in a block of candidates or of queries, and bins of one round.
 BLOCK, BINS = 1024, 256
-BLOCKS = "dim int, block long, n int, ids binary, vectors binary, low long, high long"
+BLOCKS = "dim int, block long, n int, ids binary, vectors binary, norm double"
 
 
 def quantise(vector: list | None) -> np.ndarray | None:
@@ -39,8 +39,8 @@ def blocks(vectors: DataFrame) -> DataFrame:
             made += 1
             m = np.array(vs, "<f8")
             return pa.record_batch(
-                [pa.array([x], t) for x, t in ((dim, pa.int32()), ((context.partitionId() << 32) + made, pa.int64()), (len(ids), pa.int32()), (np.array(ids, "<i8").tobytes(), pa.binary()), (m.tobytes(), pa.binary()), (0, pa.int64()), (int(np.ceil(np.sqrt((m * m).sum(1).max()))), pa.int64()))],
-                names=["dim", "block", "n", "ids", "vectors", "low", "high"],
+                [pa.array([x], t) for x, t in ((dim, pa.int32()), ((context.partitionId() << 32) + made, pa.int64()), (len(ids), pa.int32()), (np.array(ids, "<i8").tobytes(), pa.binary()), (m.tobytes(), pa.binary()), (float(np.linalg.norm(m, axis=1).max()), pa.float64()))],
+                names=["dim", "block", "n", "ids", "vectors", "norm"],
             )
 
         for batch in batches:
@@ -58,12 +58,13 @@ def blocks(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding")).mapInArrow(make, BLOCKS)
 
 
-def _scores(queries: pd.Series, block: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of queries and of candidates, and their scores (exact integers held as doubles); a query's own row counts as -inf."""
+def _scores(queries: pd.Series, block: pd.Series, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of queries and of candidates, and their scores, exact whole numbers: as doubles up to 2^53, else as longs. A query's own row
+    gets less than any score."""
     q_ids, c_ids = (np.frombuffer(x, "<i8") for x in (queries["ids"], block["ids"]))
     q, c = (np.frombuffer(x["vectors"], "<f8").reshape(len(i), -1) for x, i in ((queries, q_ids), (block, c_ids)))
-    s = q @ c.T
-    s[q_ids[:, None] == c_ids[None, :]] = -np.inf
+    s = q @ c.T if reach < 1 << 53 else q.astype(np.int64) @ c.astype(np.int64).T
+    s[q_ids[:, None] == c_ids[None, :]] = -reach - 1
     return q_ids, c_ids, s
 
 
@@ -75,6 +76,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     and reports the topmost bins that hold k of its own scores: lower bins cannot hold the kth score. The reports' sums tell the bin
     of the global kth score, which is the next round's range, until a bin is one integer wide. A last pass keeps scores above the
     kth value and, among those equal to it, the smallest ids as far as needed.
+    Scores are exact up to 2^62; where the largest norms allow higher ones, a ValueError tells so.
     Vectors null, empty or with null or non-finite components take no part; rows with an equal vec_id are each other's own row;
     fewer than k candidates are all returned. An empty table gives an empty one.
     """
@@ -82,8 +84,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     n = common.partitions(spark)
     cand = common.cut(blocks(vectors))
     asked = common.cut(blocks(queries.coalesce(max(1, n // 4))))
-    bound = cand.agg(F.max("high")).first()[0]
-    norms = asked.agg(F.max("high")).first()[0]
+    bound = cand.agg(F.max("norm")).first()[0]
+    norms = asked.agg(F.max("norm")).first()[0]
     schema = "query_id long, rank int, vec_id long, score long"
     if bound is None or norms is None:
         return spark.createDataFrame([], schema)
@@ -91,7 +93,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     spread = max(1, n // 2)
     sides = cand.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(spread)).cast("int"))
     asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    reach = int(bound) * int(norms) + 1
+    if not bound * norms < 1 << 62:
+        raise ValueError(f"inner products of vectors with norms of {bound:.3g} and {norms:.3g}, 256 times the given ones, may not fit a long")
+    reach = int(bound * norms * (1 + 1e-9)) + 1
     width = 1
     while width * BINS < 2 * reach + 1:
         width *= BINS
@@ -110,7 +114,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for r in batch.to_pylist():
-                q_ids, c_ids, s = _scores({"ids": r["q_ids"], "vectors": r["q_vectors"]}, r)
+                q_ids, c_ids, s = _scores({"ids": r["q_ids"], "vectors": r["q_vectors"]}, r, reach)
                 if r["state"] is None:
                     low, above = np.full(len(q_ids), -reach, np.int64), np.zeros(len(q_ids), np.int64)
                 else:
@@ -122,7 +126,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, list] = {}
             for q_block, q_ids, _, s, low, above in each(batches):
-                bin_ = np.floor((s - low[:, None]) / width)
+                bin_ = (s - low[:, None]) // width
                 ok = (bin_ >= 0) & (bin_ < BINS)
                 flat = np.where(ok, bin_, 0).astype(np.int64) + np.arange(len(q_ids))[:, None] * BINS
                 counts = np.bincount(flat[ok], minlength=len(q_ids) * BINS).reshape(len(q_ids), BINS)

@@ -172,7 +172,7 @@ def linked(texts, similarity=0.8):
 def in_one_group(spark, texts):
     """A function that tells whether two of the texts, by index, are in one group of similar()."""
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    root = {r.id: r.root for r in simhash.similar(df).collect()}
+    root = {r.node: r.root for r in simhash.similar(df).collect()}
     ids = [r.id for r in df.selectExpr("doc_id", "xxhash64(text) as id").orderBy("doc_id").collect()]
     return lambda i, j: root.get(ids[i], ids[i]) == root.get(ids[j], ids[j])
 
