@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -107,8 +108,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, per_row: i
 #: (1 - j ** ROWS) ** BANDS: 1.5e-5 at 0.8, 4e-11 at 0.9.
 BANDS, ROWS = 28, 5
 #: Longs of a sketch, which holds a bit of each of 64 times as many min-hashes: sets of similarity j agree in (1 + j) / 2 of the bits. A pair
-#: is verified if its sketches differ in no more bits than SIGMAS standard deviations over the mean allow (miss rate 3.4e-6 at 0.8).
-SKETCH, SIGMAS = 16, 4.5
+#: is verified if its sketches differ in no more bits than SIGMAS standard deviations over the mean allow (miss rate 3.2e-5 at 0.8).
+SKETCH, SIGMAS = 16, 4.0
 _RNG = np.random.default_rng(5)
 SALTS, FACTORS = (_RNG.integers(0, 1 << 64, (64 * SKETCH, 1), np.uint64) for _ in range(2))
 FACTORS |= np.uint64(1)
@@ -156,7 +157,7 @@ def _listed(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard similarity of at least `similarity`."""
+    """The pairs (a, b), each given once, whose sets have a Jaccard similarity of at least `similarity`."""
 
     def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
         good = []
@@ -166,7 +167,6 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             good.append(both >= similarity * (len(x) + len(y) - both))
         return batch.filter(pa.array(good, pa.bool_())).select([0, 1])
 
-    pairs = common.cut(pairs.where(alike(similarity)).select("a", "b").distinct())
     of_a, of_b = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
     if pairs.count() <= BROADCAST_PAIRS:
         both = of_a.join(F.broadcast(pairs), "a").join(of_b.join(F.broadcast(pairs.select("b").distinct()), "b"), "b")
@@ -205,7 +205,16 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: in
     texts = _listed(rows, members.select("id")).dropDuplicates(["id"]).select("id", "text")
     sets = common.stash(texts.mapInArrow(common.by_batch(shingles), "id long, set binary, size long, " + ", ".join(f"{m} long" for m in marks)), "shingles")
     members = common.cut(members.join(sets.drop("set"), "id"))
-    return graph.linked(members, lambda pairs: _alike(pairs, sets, similarity), TEXT_PAIRS_PER_ROW)
+    tried: list[DataFrame] = []
+
+    def links(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.where(alike(similarity)).select("a", "b").distinct()
+        if tried:  # a pair may share cells of different rounds
+            pairs = pairs.join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti")
+        tried.append(common.cut(pairs))
+        return _alike(tried[-1], sets, similarity)
+
+    return graph.linked(members, links, TEXT_PAIRS_PER_ROW)
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
