@@ -44,6 +44,25 @@ def best_thresholds(swept: DataFrame, least_precision: float = 0.85) -> DataFram
     return swept.agg(best(F.lit(True)).alias("best"), best(F.col("precision") >= least_precision).alias("best_precise"))
 
 
+def review_rate(decision: Column) -> Column:
+    """The share of pairs that a human would have to look at, as an aggregate; 0 without pairs."""
+    return F.coalesce(F.avg((decision == "review").cast("double")), F.lit(0.0)).alias("review_rate")
+
+
+def report(scored: DataFrame, weights: vocab.Weights | None = None) -> str:
+    """An evaluation of rows (total, is_match) as Markdown: both thresholds, the share to review, the best thresholds and the sweep."""
+    w = weights or vocab.Weights()
+    line = lambda name, r: f"| {name} | {r.precision:.3f} | {r.recall:.3f} | {r.f1:.3f} | {r.tp + r.fp} |"
+    at = lambda t: with_prf(scored.agg(*confusion(F.col("total") >= t, F.col("is_match")))).first()
+    decision = F.when(F.col("total") >= w.upper, "merge").when(F.col("total") < w.lower, "new").otherwise("review")
+    swept = sweep(scored)
+    best = best_thresholds(swept).first()
+    out = ["# Matcher evaluation", "", "| rule | precision | recall | F1 | pairs |", "|-|-|-|-|-|", line(f"merge (total >= {w.upper:g})", at(w.upper)), line(f"merge or review (total >= {w.lower:g})", at(w.lower)), ""]
+    out += [f"review rate: {scored.agg(review_rate(decision)).first()[0]:.1%}; best F1 at {best.best}; best F1 with enough precision at {best.best_precise}", "", "| t | P | R | F1 | TP | FP | FN |", "|-|-|-|-|-|-|-|"]
+    out += [f"| {r.threshold:.1f} | {r.precision:.3f} | {r.recall:.3f} | {r.f1:.3f} | {r.tp} | {r.fp} | {r.fn} |" for r in swept.orderBy("threshold").collect()]
+    return "\n".join(out) + "\n"
+
+
 def audit_relations(edges: DataFrame, entities: DataFrame, items: DataFrame) -> DataFrame:
     """(edge_id, n_texts, supported) of typed edges: whether any of an edge's source texts grounds it, under any of the ends' names."""
     names = entities.select("entity_id", F.concat(F.array("canonical_name"), "aliases").alias("names"), "entity_type")

@@ -31,32 +31,57 @@ def _earlier_merges(forms: DataFrame, weights: vocab.Weights, phonetics: bool) -
     return scoring.score(rows, weights, phonetics).where("decision = 'merge'").select(F.col("mention_id").alias("form_id"), F.col("entity_id").alias("earlier_id"), "total", F.col("g"))
 
 
-def first_roots(forms: DataFrame, merges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def first_roots(forms: DataFrame, merges: DataFrame) -> DataFrame:
     """(form_id, root_id): each form goes to the best earlier form that is a root; a form whose merging predecessors are all taken
-    elsewhere, or that has none, is a root. Rounds settle forms whose predecessors are settled, so they follow the order of arrival."""
+    elsewhere, or that has none, is a root. Rounds settle forms whose predecessors are settled, so they follow the order of arrival, and
+    each settles the first of those that wait at least."""
     waiting = _keep(merges)
     known = _keep(forms.select("form_id").join(waiting.select("form_id").distinct(), "form_id", "left_anti").select("form_id", F.col("form_id").alias("root_id")))
-    for _ in range(most_rounds):
-        if waiting.isEmpty():
-            return known
+    while not waiting.isEmpty():
         status = waiting.join(known.select(F.col("form_id").alias("earlier_id"), "root_id"), "earlier_id", "left")
         ready = status.groupBy("form_id").agg(F.bool_and(F.col("root_id").isNotNull()).alias("settled"), F.max_by("earlier_id", F.when(F.col("root_id") == F.col("earlier_id"), F.struct("total", F.xxhash64("earlier_id")))).alias("best"), F.max(F.when(F.col("root_id") == F.col("earlier_id"), 1)).alias("has"))
         done = _keep(ready.where("settled").select("form_id", F.when(F.col("has") == 1, F.col("best")).otherwise(F.col("form_id")).alias("root_id")))
         known = _keep(known.unionByName(done))
         waiting = _keep(waiting.join(done.select("form_id"), "form_id", "left_anti"))
-    raise RuntimeError("chains of merging names are longer than the rounds allowed")
+    return known
 
 
-def resolve(mentions: DataFrame, entities: DataFrame, now, candidates: DataFrame | None = None, decorrelations: DataFrame | None = None, weights: vocab.Weights | None = None, phonetics: bool = True) -> dict[str, DataFrame]:
+def _forms(mentions: DataFrame) -> DataFrame:
+    """Written forms (form_id, mention_text, mention_type, first, score) of mentions."""
+    forms = mentions.groupBy("mention_text", "mention_type").agg(F.min(F.struct("observed_at", "item_id", "start")).alias("first"), F.max("score").alias("score"))
+    return forms.withColumn("form_id", F.sha2(F.concat_ws("|", F.lit("form"), "mention_text", F.coalesce("mention_type", F.lit(""))), 256))
+
+
+def _in_context(mentions: DataFrame, forms: DataFrame, best: DataFrame, rows: DataFrame, edges: DataFrame, decorrelations: DataFrame | None, w: vocab.Weights, phonetics: bool) -> DataFrame:
+    """(own_id, entity_id, total, decision) of mentions that merge, or come to be reviewed, only by their context.
+
+    Context is the entities that earlier mentions of the item have merged with: the share of them that a candidate has an edge with
+    is scored too, for the mentions whose form alone did not merge.
+    """
+    form = mentions.join(forms.select("form_id", F.col("mention_text").alias("_t"), F.col("mention_type").alias("_y")), (F.col("mention_text") == F.col("_t")) & F.col("mention_type").eqNullSafe(F.col("_y"))).select(F.col("mention_id").alias("own_id"), "item_id", "start", "form_id")
+    judged = form.join(best.select(F.col("mention_id").alias("form_id"), F.col("entity_id").alias("with"), "decision"), "form_id")
+    before = judged.where("decision = 'merge'").select("item_id", F.col("start").alias("at"), "with")
+    open_ = judged.where("decision <> 'merge'").select("own_id", "item_id", "start", "form_id", F.col("decision").alias("alone"))
+    context = open_.join(before, "item_id").where("at < start").groupBy("own_id", "form_id", "alone").agg(F.collect_set("with").alias("other_ids"))
+    pairs = context.join(rows.drop("cooc"), F.col("form_id") == F.col("mention_id")).withColumn("pair_id", F.concat_ws("|", "own_id", "entity_id"))
+    near = blocking.cooc_fraction(pairs.select("pair_id", "entity_id", "other_ids"), edges)
+    scored = scoring.score(pairs.drop("mention_id").join(near, "pair_id").withColumn("mention_id", F.col("own_id")), w, phonetics)
+    again = scoring.best_candidates(scored.select("mention_id", "entity_id", "hits", "total", "contributions"), decorrelations, w)
+    told = again.where("decision <> 'new'").select(F.col("mention_id").alias("own_id"), "entity_id", "total", "decision")
+    return told.join(context.select("own_id", "alone"), "own_id").where("decision <> alone").drop("alone")
+
+
+def resolve(mentions: DataFrame, entities: DataFrame, now, candidates: DataFrame | None = None, decorrelations: DataFrame | None = None, weights: vocab.Weights | None = None, phonetics: bool = True, edges: DataFrame | None = None) -> dict[str, DataFrame]:
     """A batch of mentions as candidates, new entities, edges and item states.
 
     Names are scored once per written form. Forms that merge with or need review against a known entity go to it. The rest are
     scored among themselves: the form that came first becomes the entity that later forms merge with. The first mention of a new
-    entity needs a second look (needs_llm), all later ones are merged. Mentions of one item are linked in order of their entities.
+    entity needs a second look (needs_llm), all later ones are merged. With edges given, a mention whose form alone does not merge is
+    scored once more, with the entities that earlier mentions of its item merged with as evidence. Mentions of one item are linked in
+    order of their entities.
     """
     w = weights or vocab.Weights()
-    forms = mentions.groupBy("mention_text", "mention_type").agg(F.min(F.struct("observed_at", "item_id", "start")).alias("first"), F.max("score").alias("score"))
-    forms = _keep(forms.withColumn("form_id", F.sha2(F.concat_ws("|", F.lit("form"), "mention_text", F.coalesce("mention_type", F.lit(""))), 256)))
+    forms = _keep(_forms(mentions))
     names = entities.select("entity_id", F.explode(F.concat(F.array("canonical_name"), "aliases")).alias("name"))
     mention_keys = blocking.index(forms.select("form_id", F.col("mention_text").alias("name")), "form_id", phonetics).withColumnRenamed("form_id", "mention_id")
     pairs = blocking.candidates(mention_keys, blocking.index(names, phonetics=phonetics))
@@ -67,14 +92,19 @@ def resolve(mentions: DataFrame, entities: DataFrame, now, candidates: DataFrame
     rows = rows.withColumns({"cooc": F.lit(0.0), "corroboration": F.coalesce("corroboration", F.lit(0).cast("long"))})
     best = _keep(scoring.best_candidates(scoring.score(rows, w, phonetics).select("mention_id", "entity_id", "hits", "total", "contributions"), decorrelations, w))
     known = best.where("decision <> 'new'").select(F.col("mention_id").alias("form_id"), "entity_id", "total", "decision")
-    rest = _keep(forms.join(known.select("form_id"), "form_id", "left_anti"))
+    told = _keep(_in_context(mentions, forms, best, rows, edges, decorrelations, w, phonetics)) if edges is not None else None
+    left = forms if told is None else _forms(mentions.join(told, F.col("mention_id") == F.col("own_id"), "left_anti"))
+    rest = _keep(left.join(known.select("form_id"), "form_id", "left_anti"))
     roots = first_roots(rest, _earlier_merges(rest, w, phonetics))
     entity_of = F.sha2(F.concat_ws("|", F.lit("entity"), "root_id"), 256)
     fresh = roots.select("form_id", "root_id", entity_of.alias("entity_id"))
     firsts = fresh.join(forms.select(F.col("form_id").alias("root_id"), F.col("first").alias("root_first")), "root_id").select("form_id", "entity_id", "root_first")
     placed = known.select("form_id", "entity_id", "total", "decision", F.lit(None).cast(forms.schema["first"].dataType).alias("root_first"))
     placed = placed.unionByName(firsts.select("form_id", "entity_id", F.lit(None).cast("double").alias("total"), F.lit("new").alias("decision"), "root_first"))
-    out = mentions.join(forms.select("form_id", "mention_text", "mention_type"), (mentions["mention_text"] == forms["mention_text"]) & mentions["mention_type"].eqNullSafe(forms["mention_type"])).drop(forms["mention_text"]).drop(forms["mention_type"]).join(placed, "form_id")
+    out = mentions.join(forms.select("form_id", "mention_text", "mention_type"), (mentions["mention_text"] == forms["mention_text"]) & mentions["mention_type"].eqNullSafe(forms["mention_type"])).drop(forms["mention_text"]).drop(forms["mention_type"]).join(placed, "form_id", "left")
+    if told is not None:
+        news = told.select("own_id", *[F.col(c).alias(f"_{c}") for c in ("entity_id", "total", "decision")])
+        out = out.join(news, F.col("mention_id") == F.col("own_id"), "left").withColumns({c: F.coalesce(f"_{c}", c) for c in ("entity_id", "total", "decision")})
     opens = F.struct("observed_at", "item_id", "start") == F.col("root_first")
     status = F.when(F.col("decision") == "merge", "auto_merged").when(F.col("decision") == "review", "pending_review").when(opens, "needs_llm").otherwise("auto_merged")
     made = _keep(out.select(F.col("mention_id").alias("candidate_id"), "item_id", "mention_text", "mention_type", "entity_id", F.col("total").alias("match_score"), status.alias("status"), "observed_at"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -135,6 +137,29 @@ def quota(asks: DataFrame, limits: DataFrame) -> DataFrame:
     return used.join(limits, "token_id", "left").select("token_id", "day", "asks", left.alias("remaining"), F.coalesce(F.col("asks") < F.col("ask_daily_limit"), F.lit(True)).alias("allowed"))
 
 
+#: What a token begins with, so that a leaked one is easily found.
+TOKEN_PREFIX = "enk_"
+
+
+def generate_token() -> str:
+    """A new token in plain text: 128 random bits."""
+    return TOKEN_PREFIX + secrets.token_hex(16)
+
+
+def create_token(tokens: DataFrame, plain: str, name: str, role: str, now: Column, ask_daily_limit: int | None = None, license_filter: str | None = None) -> DataFrame:
+    """tokens with one more, of which only the hash is kept."""
+    row = tokens.sparkSession.range(1).select(
+        F.sha2(F.lit("id|" + plain), 256).alias("token_id"), F.sha2(F.lit(plain), 256).alias("token_hash"), F.lit(name).alias("name"), F.lit(role).alias("role"),
+        F.lit(ask_daily_limit).cast("long").alias("ask_daily_limit"), F.lit(license_filter).cast("string").alias("license_filter"), now.alias("created_at"), F.lit(None).cast("timestamp").alias("revoked_at"),
+    )
+    return tokens.unionByName(row, allowMissingColumns=True)
+
+
+def revoke_token(tokens: DataFrame, token_id: str, now: Column) -> DataFrame:
+    """tokens with that one revoked; the time of an earlier revocation stays."""
+    return tokens.withColumn("revoked_at", F.when(F.col("token_id") == token_id, F.coalesce("revoked_at", now)).otherwise(F.col("revoked_at")))
+
+
 def authenticate(bearers: DataFrame, tokens: DataFrame) -> DataFrame:
     """Rows of bearers (bearer) with the token they are for (token_hash), revoked ones left out."""
     return bearers.withColumn("token_hash", F.sha2("bearer", 256)).join(tokens.where("revoked_at IS NULL"), "token_hash", "left")

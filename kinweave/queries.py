@@ -12,7 +12,7 @@ from kinweave.functions import matching as M
 from kinweave.functions import recover as R
 from kinweave.functions import similarity as S
 from kinweave.functions import text as T
-from kinweave.operators import blocking, evaluate, graph, scoring, state, temporal
+from kinweave.operators import answer, blocking, enrich, evaluate, graph, listing, resolve, scoring, state, temporal
 from kinweave.plans import domain as D
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,8 +118,7 @@ def name_gate(spark, sf):
     return rows.select("mention", T.is_generic(F.col("mention")).alias("generic"), T.plausible_name(F.col("mention"), F.lit("other")).alias("plausible"), T.clean_mention(F.concat(F.lit("and the "), "mention", F.lit("'s,"))).alias("cleaned"))
 
 
-@query(r"""WITH e AS (SELECT doc_id, text, regexp_extract_all(text, '[.!?\n](?:[ \t\n\v\f\r])', 0) AS x FROM documents)
-    SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?\n])([ \t\n\v\f\r])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: s <> '')) AS INTEGER) AS n FROM e WHERE NOT regexp_matches(text, '[.!?\n][\n]')""")
+@query(r"""SELECT doc_id, CAST(CASE WHEN coalesce(text, '') = '' THEN 0 ELSE 1 + len(regexp_extract_all(replace(text, chr(10), chr(10) || chr(1) || chr(10)), '[.!?\n][ \t\n\v\f\r]')) END AS INTEGER) AS n FROM documents""")
 def sentence_split(spark, sf):
     return D.table(spark, sf, "documents").select("doc_id", F.size(T.split_sentences(F.coalesce("text", F.lit("")))).alias("n"))
 
@@ -415,9 +414,9 @@ def review_queue(spark, sf):
     return c.where("status = 'pending_review'").join(names, "entity_id", "left").orderBy(F.col("match_score").desc_nulls_last(), "candidate_id").limit(200).select("candidate_id", "match_score", "found")
 
 
-@query(f"WITH {CANDIDATES}, {ITEMS} SELECT candidate_id, source_ref, license_class, published_at, CASE WHEN c.status IN ('resolved') THEN 'tier 2' ELSE 'tier 1' END AS tier FROM candidates c JOIN items i USING (item_id) WHERE entity_id LIKE 'a%'")
+@query(f"WITH {CANDIDATES}, {ITEMS} SELECT candidate_id, source_ref, license_class, published_at, CASE WHEN c.status IN ('resolved') THEN 'tier 2' ELSE 'tier 1' END AS tier FROM candidates c JOIN items i USING (item_id)")
 def why_mentions(spark, sf):
-    c = D.candidates(spark, sf).where(F.col("entity_id").startswith("a"))
+    c = D.candidates(spark, sf)
     return c.join(D.items(spark, sf).drop("status"), "item_id").select("candidate_id", "source_ref", "license_class", "published_at", F.when(F.col("status") == "resolved", "tier 2").otherwise("tier 1").alias("tier"))
 
 
@@ -429,6 +428,93 @@ def checkpoint_incremental(spark, sf):
     return readers.newer_than(e, "ts", e.where("ts < timestamp_ntz '2024-01-15'").agg(F.max("ts").alias("cursor")), 200, "event_id").select("event_id", "ts")
 
 
+@query(f"WITH {ENTITIES}, names_in AS (SELECT entity_id AS name_id, canonical_name AS name FROM entities), k AS ({KEYS('name', 'name_id')}), q AS (WITH names_in AS (SELECT 'Almond Antique Blue' AS name, 'q' AS q) {KEYS('name', 'q')}) SELECT k.id AS entity_id, count(*) AS hits FROM k JOIN q USING (key_type, key) GROUP BY k.id ORDER BY hits DESC, entity_id LIMIT 50")
+def entity_search(spark, sf):
+    return listing.search_entities(D.entities(spark, sf), "Almond Antique Blue", phonetics=False)
+
+
+@query(f"WITH {EDGES} SELECT edge_id, weight FROM edges WHERE invalid_at IS NULL AND edge_type <> 'mentioned_with' ORDER BY weight DESC, edge_id LIMIT 200")
+def typed_edges_top(spark, sf):
+    return listing.typed_edges(D.edges(spark, sf)).select("edge_id", "weight")
+
+
+def _mentioned(spark, sf) -> DataFrame:
+    return D.candidates(spark, sf).select("entity_id").distinct().select("entity_id", F.col("entity_id").alias("canonical_name"), F.lit("other").alias("entity_type"))
+
+
+@query(f"WITH {CANDIDATES} SELECT entity_id, entity_id AS canonical_name, 'other' AS entity_type, count(DISTINCT item_id) AS n FROM candidates WHERE status IN ('auto_merged', 'resolved', 'confirmed') GROUP BY entity_id ORDER BY n DESC, entity_id LIMIT 25")
+def top_corroborated(spark, sf):
+    return listing.top_corroborated(_mentioned(spark, sf), D.candidates(spark, sf))
+
+
+@query(f"WITH {ENTITIES}, geo AS (SELECT 'location:' || n_name AS entity_id FROM nation WHERE n_regionkey < 2) SELECT entity_id FROM entities WHERE entity_type = 'location' AND is_live AND entity_id NOT IN (SELECT entity_id FROM geo)")
+def ungeocoded(spark, sf):
+    geo = D.table(spark, sf, "nation").where("n_regionkey < 2").select(F.concat(F.lit("location:"), "n_name").alias("entity_id"))
+    return listing.ungeocoded(D.entities(spark, sf), geo).select("entity_id")
+
+
+@query(f"WITH {CANDIDATES}, {ITEMS}, r AS (SELECT source_ref, mention_text, c.status, row_number() OVER (PARTITION BY source_ref, mention_text ORDER BY published_at DESC, candidate_id DESC) AS r FROM candidates c JOIN items USING (item_id)) SELECT source_ref, mention_text, status FROM r WHERE r = 1")
+def candidate_state(spark, sf):
+    i = D.items(spark, sf)
+    c = D.candidates(spark, sf).join(i.select("item_id", F.col("published_at").alias("observed_at")), "item_id")
+    return listing.latest_states(c, i).select("source_ref", "mention_text", "status")
+
+
+@query(f"WITH {CANDIDATES} SELECT DISTINCT item_id FROM candidates WHERE status = 'needs_llm' ORDER BY item_id LIMIT 100")
+def waiting_items(spark, sf):
+    return enrich.waiting(D.candidates(spark, sf), 100)
+
+
+@query("SELECT conv_id AS item_id, mention_text, start, score FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, lower(mention_text) ORDER BY score DESC, start) AS r FROM (SELECT conv_id, role AS mention_text, CAST(turn AS INTEGER) AS start, length(text) % 10 / 10.0::DOUBLE AS score FROM conversations)) WHERE r = 1")
+def strongest_mentions(spark, sf):
+    m = D.table(spark, sf, "conversations").select(F.col("conv_id").alias("item_id"), F.col("role").alias("mention_text"), F.col("turn").cast("int").alias("start"), (F.length("text") % 10 / 10.0).alias("score"))
+    return listing.strongest_mentions(m)
+
+
+@query()
+def score_breakdown(spark, sf):
+    return _scored(spark, sf).select("mention", "canonical", listing.breakdown(F.col("contributions")).alias("breakdown"))
+
+
+@query()
+def graph_export(spark, sf):
+    return listing.graph_rows(D.entities(spark, sf), D.edges(spark, sf))
+
+
+@query()
+def sane_canonical(spark, sf):
+    pairs = D.name_pairs(spark, sf).select("mention", F.col("canonical").alias("canonical_name"), F.lit("product").alias("entity_type"))
+    return enrich.sane_canonical(pairs).select("mention", "canonical_name", "canonical")
+
+
+# ---- questions and resolution --------------------------------------------------------------------------------------------------
+
+
+@query()
+def ask_slice(spark, sf):
+    names = D.entities(spark, sf).where("entity_type = 'location'").withColumn("entity_id", F.concat(F.lit("n"), F.element_at(F.split("entity_id", ":"), -1)))
+    n = D.table(spark, sf, "nation").select(F.concat(F.lit("n"), "n_name").alias("entity_id"), F.concat(F.lit("n"), "n_nationkey").alias("node"))
+    entities = names.join(n, "entity_id").drop("entity_id").withColumnRenamed("node", "entity_id")
+    return answer.ask("Which companies are headquartered in France or Germany?", entities, D.edges(spark, sf), D.items(spark, sf))["edges"].select("rank", "edge_id", "weight")
+
+
+@query(f"WITH {EDGES} SELECT edge_id, valid_at FROM edges WHERE (from_id = 'n3' OR to_id = 'n3') AND invalid_at IS NULL AND edge_type <> 'mentioned_with'")
+def dossier_timeline(spark, sf):
+    e = D.table(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("entity_id"), F.col("n_name").alias("canonical_name"))
+    return answer.dossier("n3", e, D.edges(spark, sf), D.items(spark, sf))["timeline"].select("edge_id", "valid_at")
+
+
+@query(f"WITH {ENTITIES}, {CANDIDATES} SELECT (SELECT count(*) FROM entities WHERE last_seen >= TIMESTAMP '2024-01-20') AS new_entities, (SELECT count(*) FROM candidates WHERE status = 'pending_review') AS pending_review")
+def digest_counts(spark, sf):
+    return answer.digest(D.entities(spark, sf), D.edges(spark, sf), D.candidates(spark, sf), F.expr("timestamp_ntz '2024-01-20 00:00:00'"))["counts"]
+
+
+@query()
+def resolve_batch(spark, sf):
+    i = D.items(spark, sf).withColumn("observed_at", F.col("published_at"))
+    return resolve.resolve(resolve.extract(i), D.entities(spark, sf), F.expr(f"timestamp_ntz '{D.AS_OF}'"), edges=D.edges(spark, sf))["candidates"].select("item_id", "mention_text", "status", F.round("match_score", 6).alias("match_score"))
+
+
 # ---- changes of state ----------------------------------------------------------------------------------------------------------
 
 
@@ -475,7 +561,8 @@ def apply_decisions(spark, sf):
 
 @query()
 def prune_entities(spark, sf):
-    return state.prune(D.entities(spark, sf)).select("entity_id", "canonical_name")
+    names = D.candidates(spark, sf).select("mention_text").distinct().select(F.col("mention_text").alias("entity_id"), F.lit("person").alias("entity_type"), F.col("mention_text").alias("canonical_name"))
+    return state.prune(D.entities(spark, sf).select("entity_id", "entity_type", "canonical_name").unionByName(names)).select("entity_id", "canonical_name")
 
 
 @query()
@@ -520,6 +607,11 @@ def confusion(spark, sf):
     return _labelled(spark, sf).agg(*evaluate.confusion(F.col("total") >= 5, F.col("is_match")))
 
 
+@query(f"WITH {SCORED} SELECT avg(CASE WHEN total >= 5 OR total < 1 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END) AS review_rate FROM scored")
+def review_rate(spark, sf):
+    return _labelled(spark, sf).agg(evaluate.review_rate(F.when(F.col("total") >= 5, "merge").when(F.col("total") < 1, "new").otherwise("review")))
+
+
 @query(
     """WITH places AS (SELECT n_nationkey AS geonameid, n_name AS name, n_nationkey * 1.5::DOUBLE AS lat, n_nationkey * 2.5::DOUBLE AS lon, n_regionkey AS region, count(c_custkey) AS population FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL)
     SELECT 'e' || c_custkey AS entity_id, geonameid, lat, lon, name AS place_name, CAST(round(CASE WHEN c_custkey % 2 = 0 THEN 0.8 ELSE 0.8 * 0.8 END, 6) AS DOUBLE) AS confidence FROM customer JOIN places ON geonameid = c_nationkey"""

@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from kinweave.operators import evaluate
@@ -49,3 +50,29 @@ def test_watch_ingests_once(spark, tmp_path):
         watch.watch(spark, str(land), str(root), now).awaitTermination()
     s = Store(spark, str(root))
     assert s.read("items").count() == 3 and {r.canonical_name for r in s.read("entities").collect()} == {"Mistral AI", "Paris", "Nvidia"}
+
+
+def test_a_batch_that_broke_off_starts_over(spark, tmp_path, monkeypatch):
+    now = F.lit(dt.datetime(2026, 2, 2))
+    rows = [("rss", f"r{i}", "t", text, "unknown", dt.datetime(2026, 1, 1 + i)) for i, text in enumerate(["Mistral AI raised funds in Paris.", "Mistral AI spoke with Nvidia in Paris."])]
+    batch = spark.createDataFrame(rows, watch.RAW)
+    s = Store(spark, str(tmp_path / "store"))
+    write = Store.write
+
+    def broken(self, table, frame, version=None):
+        if table == "edges":
+            raise OSError("lost")
+        return write(self, table, frame, version)
+
+    monkeypatch.setattr(Store, "write", broken)
+    with pytest.raises(OSError):
+        watch.cycle(s, batch, 0, now)
+    assert s.committed() is None and s.versions("entities") == [1] and s.versions("items") == []
+    monkeypatch.setattr(Store, "write", write)
+    watch.cycle(s, batch, 0, now)
+    watch.cycle(s, batch, 0, now)
+    assert s.committed() == 1 and s.read("items").count() == 2 and {r.canonical_name for r in s.read("entities").collect()} == {"Mistral AI", "Paris", "Nvidia"}
+    assert s.read("edges").count() >= 1 and {r.status for r in s.read("items").collect()} <= {"needs_llm", "resolved"}
+    weight = s.read("edges").agg(F.sum("weight")).first()[0]
+    watch.cycle(s, spark.createDataFrame([("rss", "r9", "t", "Nvidia met Mistral AI in Paris.", "unknown", dt.datetime(2026, 1, 9))], watch.RAW), 1, now)
+    assert s.committed() == 2 and s.read("items").count() == 3 and s.read("edges").agg(F.sum("weight")).first()[0] > weight
