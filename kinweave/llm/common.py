@@ -41,15 +41,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no other run uses, until release() takes it away."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    STASHED.append(path)
+    return path
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
     """The same rows from a Parquet table in the shared folder: later steps neither recompute them nor lose them with an executor."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    STASHED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -58,7 +59,7 @@ def cut(df: DataFrame) -> DataFrame:
     return stash(df, "cut")
 
 
-#: Folders that stash() has written, until release() takes them away.
+#: Folders that operators have written, until release() takes them away.
 STASHED: list[str] = []
 
 

@@ -38,6 +38,17 @@ def test_top_k_over_small_blocks_and_bins(spark, vectors, monkeypatch, block):
     assert sorted(tuple(r) for r in topk.search(df, df.where("vec_id % 50 = 0")).collect()) == usual
 
 
+def test_scores_beyond_doubles_are_exact(spark):
+    rows = [(0, [3.0e6 + 1 / 256, 1.0]), (1, [4.0e6, 1 / 256]), (2, [4.0e6, 0.0]), (3, [-4.0e6, 7.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+    best = sorted((-sum(a * b for a, b in zip(q[0], q[j], strict=True)), j) for j in q if j)
+    assert sorted(tuple(r) for r in topk.search(df, df.where("vec_id = 0")).collect()) == [(0, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    wide = spark.createDataFrame([(0, [7.0e9, 7.0e9]), (1, [7.0e9, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="may not fit"):
+        topk.search(wide, wide)
+
+
 def test_archives(spark, tmp_path):
     big, other = "<p>" + "x" * 1200 + "é</p>", "<p>" + "y" * 1500
     rows = [(1, "http://a/1", big), (9, "http://a/9", big), (5, None, big), (2, "http://b\r\nX: y", other), (3, "http://c", "small"), (4, "http://d", "small"), (6, "u", None), (7, "u", ""), (None, "u", "n")]
