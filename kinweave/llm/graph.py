@@ -47,8 +47,8 @@ def shared_cells(cells: DataFrame) -> DataFrame:
 def linked(members: DataFrame, links: Callable[[DataFrame], DataFrame], per_row: int) -> DataFrame:
     """(node, root) of the ids that have links; nodes with one root are connected by links.
 
-    members: (cell, id, more columns), each id once in a cell. links: gives the links among pairs (a, b, the more columns with _a and _b
-    appended). Every pair of ids that
+    members: (cell, id, more columns), each id once in a cell. links: gives the links among pairs (cell, a, b, the more columns with _a
+    and _b appended); in a cell a pair comes once. Every pair of ids that
     share a cell is handed to it, unless links found before connect its ends already, which leaves the components as they are. A cell
     with up to `per_row` pairs a row gives all of them at once. In larger cells some rows lead, one in the first round and about eight
     times as many in each later one; they are paired with all others and then leave the cell, as do rows in time that links connect with all the
@@ -67,7 +67,7 @@ def linked(members: DataFrame, links: Callable[[DataFrame], DataFrame], per_row:
         leads = (rank == F.col("first")) | (F.pmod(F.xxhash64(F.lit(round_), "id"), F.col("n")) < 8**round_)
         held = common.cut(left.join(sized, "cell").select("cell", "id", "root", *more, all_.alias("whole"), (leads & ~all_).alias("leads")))
         of = held.where("whole or leads").select("cell", F.col("id").alias("other"), F.col("root").alias("other_root"), *[F.col(c).alias(f"{c}_b") for c in more])
-        pairs = held.join(of, "cell").where("root <> other_root and (id > other or not (whole or leads))").select(F.col("id").alias("a"), F.col("other").alias("b"), *[x for c in more for x in (F.col(c).alias(f"{c}_a"), F.col(f"{c}_b"))])
+        pairs = held.join(of, "cell").where("root <> other_root and (id > other or not (whole or leads))").select("cell", F.col("id").alias("a"), F.col("other").alias("b"), *[x for c in more for x in (F.col(c).alias(f"{c}_a"), F.col(f"{c}_b"))])
         good = common.cut(links(pairs).select("a", "b"))
         rest = held.where("not whole and not leads").select("cell", "id", "root", *more)
         round_ += 1
