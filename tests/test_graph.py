@@ -191,9 +191,13 @@ def test_quota_and_tokens(spark):
 def test_store(spark, tmp_path):
     s = Store(spark, str(tmp_path))
     assert s.read("x") is None
-    s.write("x", spark.range(2), 1)
     s.write("x", spark.range(9), 1)
-    assert s.read("x").count() == 2 and s.write("x", spark.range(3)) == 2 and s.read("x").count() == 3
+    s.write("x", spark.range(2), 1)  # not committed yet: written anew
+    s.commit(1)
+    s.write("x", spark.range(9), 1)  # committed: stays
+    assert s.read("x").count() == 2 and s.write("x", spark.range(3)) == 2 and s.read("x").count() == 2
+    s.commit(2)
+    assert s.read("x").count() == 3 and s.read("x", 1).count() == 2
     s.prune("x", 1)
     assert s.versions("x") == [2]
 
