@@ -38,6 +38,29 @@ def test_top_k_over_small_blocks_and_bins(spark, vectors, monkeypatch, block):
     assert sorted(tuple(r) for r in topk.search(df, df.where("vec_id % 50 = 0")).collect()) == usual
 
 
+def test_no_vectors_are_broadcast(spark, vectors, monkeypatch):
+    df, _ = vectors
+    plans, cut = [], topk.common.cut
+
+    def seen(rows):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return cut(rows)
+
+    monkeypatch.setattr(topk.common, "cut", seen)
+    found = topk.search(df, df.where("vec_id % 50 = 0"))
+    assert found.collect()
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) > 1 and not [p for p in plans if "Broadcast" in p]
+
+
+def test_top_k_in_many_parts_and_reports(spark, vectors, monkeypatch):
+    df, _ = vectors
+    usual = sorted(tuple(r) for r in topk.search(df, df.where("vec_id % 50 = 0")).collect())
+    for name, value in (("BLOCK_BYTES", 300), ("HELD", 100), ("SUMS", 1)):
+        monkeypatch.setattr(topk, name, value)
+    assert sorted(tuple(r) for r in topk.search(df, df.where("vec_id % 50 = 0")).collect()) == usual
+
+
 def test_scores_beyond_doubles_are_exact(spark):
     rows = [(0, [3.0e6 + 1 / 256, 1.0]), (1, [4.0e6, 1 / 256]), (2, [4.0e6, 0.0]), (3, [-4.0e6, 7.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
