@@ -81,6 +81,20 @@ def _scores(queries: pd.Series, block: pd.Series, reach: int) -> tuple[np.ndarra
     return q_ids, c_ids, s
 
 
+def _settled(rows: DataFrame) -> DataFrame:
+    """cut() of a round's result; the round's shuffle files go with it, rather than stay until the driver collects its garbage."""
+    conf, key = rows.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return common.cut(rows)
+    finally:
+        if before is None:
+            conf.unset(key)
+        else:
+            conf.set(key, before)
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest inner products of quantised vectors, ties to the smaller vec_id.
 
@@ -181,7 +195,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         # The kth score's bin: the lowest bin with fewer than k scores above it (queries with fewer than k candidates: their lowest).
         top = F.min_by(F.struct((F.col("low") + F.col("bin") * width).alias("low"), (F.col("higher") + F.col("above")).alias("above")), "bin")
         chosen = sums.where(F.col("higher") + F.col("above") < k).groupBy("q_block", "query_id").agg(top.alias("at")).select("q_block", "query_id", "at.*")
-        state = common.cut(chosen)
+        state = _settled(chosen)
         if width == 1:
             break
         width //= BINS
