@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import ArrayType, BooleanType
 
 from kinweave import vocab
 
@@ -30,46 +34,65 @@ def types_ok(relation: Column, a: Column, b: Column) -> Column:
     return ~(bad | (relation.isin(*vocab.PLACED) & ~b.isin("location", "other")))
 
 
-def _places(text: bytes, name: bytes) -> list[int]:
-    out, at = [], text.find(name) if len(name) >= 2 else -1
-    while at >= 0:
-        out.append(at)
-        at = text.find(name, at + len(name))
-    return out
-
-
-def _ends(text: bytes, i: int) -> bool:
-    return text[i] == 10 or (text[i] in b".!?" and (i + 1 >= len(text) or text[i + 1] in b" \t\n\x0c\r"))
+_END = re.compile(rb"\n|[.!?](?=[ \t\n\x0c\r]|\Z)")
+
+
+class Grounds:
+    """A text in lower case as bytes; places of names and ends of sentences are found once."""
+
+    def __init__(self, text: str):
+        self.raw, self.known, self.ends = text.lower().encode(), {}, None
+
+    def places(self, name: bytes) -> list[int]:
+        """Where a name of two bytes or more begins, without overlaps."""
+        if name not in self.known:
+            out, at = [], self.raw.find(name) if len(name) >= 2 else -1
+            while at >= 0:
+                out.append(at)
+                at = self.raw.find(name, at + len(name))
+            self.known[name] = out
+        return self.known[name]
+
+    def bounds(self, at: int) -> tuple[int, int]:
+        """Bytes of the sentence around a place: from after the last end mark to the next one."""
+        if self.ends is None:
+            self.ends = [m.start() for m in _END.finditer(self.raw)]
+        i = bisect_left(self.ends, at)
+        return self.ends[i - 1] + 1 if i else 0, self.ends[i] if i < len(self.ends) else len(self.raw)
+
+    def nearest(self, x: bytes, y: bytes) -> tuple[int, int] | None:
+        """The nearest places of two names that are within PROXIMITY; of equals the first ones."""
+        ours, theirs = self.places(x), self.places(y)
+        best, found = vocab.PROXIMITY + 1, None
+        for p in ours if theirs else []:
+            j = bisect_left(theirs, p)
+            for q in theirs[max(j - 1, 0) : j + 1]:
+                if abs(p - q) < best:
+                    best, found = abs(p - q), (p, q)
+        return found
+
+    def near_and_cued(self, a: str, b: str, relation: str) -> bool:
+        x, y = a.strip().lower().encode(), b.strip().lower().encode()
+        if not x or not y or x == y or (found := self.nearest(x, y)) is None:
+            return False
+        words = vocab.CUES_OF.get(relation)
+        if words is None:
+            return True
+        (low_a, high_a), (low_b, high_b) = self.bounds(found[0]), self.bounds(found[1])
+        if relation in vocab.SAME_SENTENCE and low_a != low_b:
+            return False
+        window = self.raw[min(low_a, low_b) : max(high_a, high_b)]
+        return any(w.encode() in window for w in words)
 
 
 def sentence_bounds(text: bytes, at: int) -> tuple[int, int]:
     """Bytes of the sentence around a place: from after the last end mark to the next one."""
-    low, high = at, at
-    while low > 0 and not _ends(text, low - 1):
-        low -= 1
-    while high < len(text) and not _ends(text, high):
-        high += 1
-    return low, high
+    return Grounds(text.decode()).bounds(at)
 
 
 def near_and_cued(text: str, a: str, b: str, relation: str) -> bool:
     """Both names stand within PROXIMITY bytes, and their sentences hold a word that the relation needs, if it needs one."""
-    raw, x, y = text.lower().encode(), a.strip().lower().encode(), b.strip().lower().encode()
-    if not x or not y or x == y:
-        return False
-    ours, theirs = _places(raw, x), _places(raw, y)
-    pairs = [(abs(p - q), i, j, p, q) for i, p in enumerate(ours) for j, q in enumerate(theirs) if abs(p - q) <= vocab.PROXIMITY]
-    if not pairs:
-        return False
-    *_, p, q = min(pairs)
-    words = vocab.CUES_OF.get(relation)
-    if words is None:
-        return True
-    (low_a, high_a), (low_b, high_b) = sentence_bounds(raw, p), sentence_bounds(raw, q)
-    if relation in vocab.SAME_SENTENCE and low_a != low_b:
-        return False
-    window = raw[min(low_a, low_b) : max(high_a, high_b)]
-    return any(w.encode() in window for w in words)
+    return Grounds(text).near_and_cued(a, b, relation)
 
 
 @F.pandas_udf(BooleanType())
@@ -77,6 +100,16 @@ def _near(text: pd.Series, a: pd.Series, b: pd.Series, relation: pd.Series) -> p
     return pd.Series([None not in row and near_and_cued(*row) for row in zip(text, a, b, relation, strict=True)])
 
 
+@F.arrow_udf(ArrayType(BooleanType()))
+def near_each(text: pa.Array, a: pa.Array, b: pa.Array, relation: pa.Array) -> pa.Array:
+    """near_and_cued() of a text for arrays of names and relations, so that a text goes to Python once for all of its pairs."""
+    out = []
+    for t, *lists in zip(text, a, b, relation, strict=True):
+        g = Grounds(t.as_py() or "")
+        out.append([None not in row and g.near_and_cued(*row) for row in zip(*(x.as_py() or [] for x in lists), strict=True)])
+    return pa.array(out, pa.list_(pa.bool_()))
+
+
 def relation_grounded(text: Column, a: Column, b: Column, relation: Column, type_a: Column, type_b: Column) -> Column:
     """Types fit and the text has both names near each other with the words that the relation needs."""
     return types_ok(relation, type_a, type_b) & _near(text, a, b, relation)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinweave import vocab
 from kinweave.functions import grounding as G
 from kinweave.functions import text as T
+from kinweave.operators.kept import discard, keep
 
 
 def confusion(predicted: Column, truth: Column) -> list[Column]:
@@ -67,11 +68,24 @@ def audit_relations(edges: DataFrame, entities: DataFrame, items: DataFrame) ->
     """(edge_id, n_texts, supported) of typed edges: whether any of an edge's source texts grounds it, under any of the ends' names."""
     names = entities.select("entity_id", F.concat(F.array("canonical_name"), "aliases").alias("names"), "entity_type")
     end = lambda side: names.select(*[F.col(c).alias(f"{side}_{c}") for c in names.columns])
-    rows = edges.where("edge_type <> 'mentioned_with'").select("edge_id", "from_id", "to_id", "edge_type", F.explode_outer("source_item_ids").alias("item_id"))
-    rows = rows.join(end("a"), F.col("from_id") == F.col("a_entity_id")).join(end("b"), F.col("to_id") == F.col("b_entity_id")).join(items.select("item_id", "raw_text"), "item_id", "left")
-    a, b = G.occurring_name(F.col("raw_text"), F.col("a_names")), G.occurring_name(F.col("raw_text"), F.col("b_names"))
-    rows = rows.withColumn("_ok", F.coalesce(G.relation_grounded(F.coalesce("raw_text", F.lit("")), F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")), F.col("edge_type"), F.col("a_entity_type"), F.col("b_entity_type")), F.lit(False)))
-    return rows.groupBy("edge_id").agg(F.count("raw_text").alias("n_texts"), F.bool_or("_ok").alias("supported"))
+    # Kept between steps, so that a step's shuffle files go before those of the next come; texts are joined once for all pairs of an item.
+    typed = keep(edges.where("edge_type <> 'mentioned_with'").select("edge_id", "from_id", "to_id", "edge_type", "source_item_ids"))
+    known = typed.join(end("a"), F.col("from_id") == F.col("a_entity_id")).drop("from_id", "a_entity_id")
+    known = keep(known.join(end("b"), F.col("to_id") == F.col("b_entity_id")).drop("to_id", "b_entity_id"))
+    discard(typed)
+    fits = F.coalesce(G.types_ok(F.col("edge_type"), F.col("a_entity_type"), F.col("b_entity_type")), F.lit(False))
+    rows = known.select("edge_id", "edge_type", "a_names", "b_names", fits.alias("fits"), F.explode_outer("source_item_ids").alias("item_id"))
+    texts = items.select("item_id", "raw_text")
+    of_item = rows.where("item_id IS NOT NULL").groupBy("item_id").agg(F.collect_list(F.struct("edge_id", "edge_type", "a_names", "b_names", "fits")).alias("pairs"))
+    asked = of_item.join(texts, "item_id", "left").withColumn("_low", F.lower("raw_text"))
+    name = lambda names: F.coalesce(G.occurring_name(F.col("_low"), names), F.lit(""))
+    asked = asked.withColumn("_p", F.transform("pairs", lambda p: F.struct(p["edge_id"].alias("edge_id"), p["edge_type"].alias("edge_type"), p["fits"].alias("fits"), name(p["a_names"]).alias("a"), name(p["b_names"]).alias("b")))).drop("pairs", "_low")
+    asked = asked.withColumn("_near", G.near_each(F.coalesce("raw_text", F.lit("")), F.col("_p.a"), F.col("_p.b"), F.col("_p.edge_type")))
+    told = asked.select(F.col("raw_text").isNotNull().cast("long").alias("n"), F.explode(F.zip_with("_p", "_near", lambda p, near: F.struct(p["edge_id"].alias("edge_id"), (p["fits"] & near).alias("ok")))).alias("x")).select("n", "x.*")
+    told = told.unionByName(rows.where("item_id IS NULL").select("edge_id", F.lit(0).cast("long").alias("n"), F.lit(False).alias("ok")))
+    told = keep(told)
+    discard(known)
+    return told.groupBy("edge_id").agg(F.sum("n").alias("n_texts"), F.bool_or("ok").alias("supported"))
 
 
 def escalations(edges: DataFrame) -> DataFrame:

@@ -1,4 +1,7 @@
 import datetime as dt
+import random
+import re
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -205,3 +208,26 @@ def test_store(spark, tmp_path):
 def test_weights_are_the_published_ones():
     w = vocab.Weights()
     assert (w.name, w.upper, w.lower, w.prior_cap) == ((-3.0, -0.5, 2.5, 4.5), 5.0, 1.0, 2.0) and len(vocab.IGNORABLE) == 35
+
+
+def test_texts_with_many_places_of_names():
+    """Two names at 30,000 places each, of which the pairs are not listed; the first of the nearest counts."""
+    began = time.time()
+    assert G.near_and_cued("aa x bb " * 30_000 + "deal", "aa", "bb", "met_with")
+    assert not G.near_and_cued("aa x bb. " * 30_000 + "a deal.", "aa", "bb", "partner_of")
+    assert time.time() - began < 5
+    rng = random.Random(3)
+    for _ in range(200):
+        text = "".join(rng.choice(["aa", "bb", " ", ". ", "\n", "deal", "xyz" * rng.randint(1, 60)]) for _ in range(rng.randint(1, 60)))
+        x, y = [[m.start() for m in re.finditer(n, text)] for n in ("aa", "bb")]
+        pairs = [(abs(p - q), i, j, p, q) for i, p in enumerate(x) for j, q in enumerate(y) if abs(p - q) <= 400]
+        assert G.Grounds(text).nearest(b"aa", b"bb") == (min(pairs)[3:] if pairs else None)
+
+
+def test_audit_sends_a_text_once(spark):
+    """An item of many pairs: its text is joined once, and counts are those of single pairs."""
+    items = spark.createDataFrame([("i", "aa partner bb. cc met dd " + "x " * 300), ("j", None)], "item_id string, raw_text string")
+    e = spark.createDataFrame([(n, n, [], "other") for n in ("aa", "bb", "cc", "dd", "zz")], "entity_id string, canonical_name string, aliases array<string>, entity_type string")
+    edges = spark.createDataFrame([("1", "aa", "bb", ["i", "j"]), ("2", "cc", "dd", ["i"]), ("3", "aa", "zz", ["i", "gone"]), ("4", "aa", "bb", []), ("5", "aa", "bb", None)], "edge_id string, from_id string, to_id string, source_item_ids array<string>").withColumn("edge_type", F.lit("partner_of"))
+    got = {r.edge_id: (r.n_texts, r.supported) for r in evaluate.audit_relations(edges, e, items).collect()}
+    assert got == {"1": (1, True), "2": (1, False), "3": (1, False), "4": (0, False), "5": (0, False)}
