@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
@@ -193,10 +194,14 @@ def find_mentions(text: str | None, score: float = 0.3) -> list[dict]:
     return list(out.values())
 
 
-@F.pandas_udf(SPANS)
-def mentions(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(SPANS)
+def mentions(texts: pa.Array) -> pa.Array:
     """find_mentions() over a column. Spark's regular expressions tell what matches, not where; hence Arrow batches."""
-    return pd.Series([find_mentions(t) for t in texts])
+    found = [find_mentions(t) for t in texts.to_pylist()]
+    flat = [m for ms in found for m in ms]
+    kinds = {"text": pa.string(), "start": pa.int32(), "end": pa.int32(), "score": pa.float64()}
+    values = pa.StructArray.from_arrays([pa.array([m[k] for m in flat], t) for k, t in kinds.items()], names=list(kinds))
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, found))], pa.int32()), values)
 
 
 def mention_texts(text: Column) -> Column:

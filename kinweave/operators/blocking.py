@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.functions import similarity as S
 from kinweave.functions import text as T
+from kinweave.operators.kept import keep as _keep
 
 
 def keys(name: Column, phonetics: bool = True) -> Column:
@@ -24,14 +27,42 @@ def index(names: DataFrame, id_column: str = "entity_id", phonetics: bool = True
     return names.select(id_column, F.explode(keys(F.col("name"), phonetics)).alias("k")).select(id_column, "k.key_type", "k.key").distinct()
 
 
-def candidates(mention_keys: DataFrame, entity_keys: DataFrame, most: int = 50) -> DataFrame:
+def candidates(mention_keys: DataFrame, entity_keys: DataFrame, most: int = 50, keep: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(mention_id, entity_id, hits): for each mention the `most` entities that share most keys; ties to the smaller id.
 
-    An equi-join on the key; hits are combined before the shuffle, and the rank limit is applied within partitions first.
+    Only keys of at most `most` entities are joined entity by entity. What a mention shares of the others (hot keys) is found once for
+    each set of hot keys, and of the entities with the same hot keys only the `most` smallest ids take part: an entity that shares
+    nothing but hot keys and comes after `most` others there comes after them for the mention too, whatever else those share.
+    Rows grow with the names, not with the square of a key's names. keep: a condition on (mention_id, entity_id) of rows to return,
+    asked after the limit, before rows are made; ids can be structs whose first field tells them apart.
     """
-    hits = mention_keys.join(entity_keys, ["key_type", "key"]).groupBy("mention_id", "entity_id").agg(F.count("*").alias("hits"))
-    order = Window.partitionBy("mention_id").orderBy(F.col("hits").desc(), "entity_id")
-    return hits.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).drop("_r")
+    key = F.concat_ws("|", "key_type", "key").alias("key")
+    own = _keep(entity_keys.select("entity_id", key))
+    counts = _keep(own.groupBy("key").agg((F.count("*") > most).alias("hot")))
+    parted = [F.array_sort(F.collect_list(F.when(F.col("hot"), F.col("key")))).alias("hot_keys"), F.collect_list(F.when(~F.col("hot"), F.col("key"))).alias("keys")]
+    entities = _keep(own.join(counts, "key").groupBy("entity_id").agg(*parted))
+    mentions = _keep(mention_keys.select("mention_id", key).join(counts, "key").groupBy("mention_id").agg(*parted))
+    ranked = F.struct((-F.col("hits")).alias("rank"), "entity_id")
+    # Entities that share a key which is not hot, with all they share.
+    left = mentions.select("mention_id", F.col("hot_keys").alias("ours"), F.explode("keys").alias("key"))
+    right = entities.select("entity_id", F.col("hot_keys").alias("theirs"), F.explode("keys").alias("key"))
+    near = left.join(right, "key").groupBy("mention_id", "entity_id").agg(F.count("*").alias("n"), F.first("ours").alias("ours"), F.first("theirs").alias("theirs"))
+    near = near.withColumn("hits", F.col("n") + F.size(F.array_intersect("ours", "theirs"))).groupBy("mention_id").agg(F.collect_list(ranked).alias("near"))
+    # For each set of hot keys the first entities by what they share of it.
+    alike = entities.where(F.size("hot_keys") > 0).withColumn("_r", F.row_number().over(Window.partitionBy("hot_keys").orderBy("entity_id"))).where(F.col("_r") <= most)
+    alike = _keep(alike.groupBy(F.col("hot_keys").alias("theirs")).agg(F.collect_list("entity_id").alias("ids")))
+    sets = mentions.where(F.size("hot_keys") > 0).select(F.col("hot_keys").alias("ours")).distinct().withColumn("key", F.explode("ours"))
+    met = sets.join(alike.select("theirs", F.explode("theirs").alias("key")), "key").groupBy("ours", "theirs").agg(F.count("*").alias("hits"))
+    first = met.join(alike, "theirs").select("ours", "hits", F.explode("ids").alias("entity_id"))
+    first = first.withColumn("_r", F.row_number().over(Window.partitionBy("ours").orderBy(F.col("hits").desc(), "entity_id"))).where(F.col("_r") <= most)
+    far = first.groupBy("ours").agg(F.collect_list(ranked).alias("far"))
+    rows = mentions.select("mention_id", F.col("hot_keys").alias("ours")).join(near, "mention_id", "left").join(far, "ours", "left")
+    none = F.array().cast(far.schema["far"].dataType)
+    rows = rows.select("mention_id", F.coalesce("near", none).alias("near"), F.coalesce("far", none).alias("far")).withColumn("_ids", F.transform("near", lambda x: x["entity_id"]))
+    rows = rows.withColumn("_all", F.slice(F.array_sort(F.concat("near", F.filter("far", lambda x: ~F.array_contains("_ids", x["entity_id"])))), 1, most))
+    if keep is not None:
+        rows = rows.withColumn("_all", F.filter("_all", lambda x: keep(F.col("mention_id"), x["entity_id"])))
+    return rows.select("mention_id", F.explode("_all").alias("_x")).select("mention_id", F.col("_x.entity_id").alias("entity_id"), (-F.col("_x.rank")).alias("hits"))
 
 
 def cooc_fraction(pairs: DataFrame, edges: DataFrame) -> DataFrame:
